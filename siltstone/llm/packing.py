@@ -17,6 +17,8 @@ from .common import documents
 
 #: Characters whose tokens depend neither on Unicode tables nor on the text around their run of non-spaces.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ‐-‧‰-⁞]")
+#: Words as the tokenizer's own pattern cuts them, for these characters.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class WordCache:
@@ -26,28 +28,35 @@ class WordCache:
     neighbours. Texts with other characters than common Latin ones go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.known = most, {}
-        self.mark_id, self.mark = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()))
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def apart(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of each run, from one call: a special token stands between runs and its id marks where to cut."""
-        out = {}
-        for i in range(0, len(runs), 2_000):
-            some = runs[i : i + 2_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            start = 0
-            for run, end in zip(some, ends, strict=True):
-                out[run] = ids[start:end].tobytes()
-                start = end + 1
-        return out
+        """Ids of each run. New words go to the tokenizer in one text; a word's last token is one that closes words."""
+        split = list(map(_WORD.findall, runs))
+        words = self.words
+        if len(words) > self.most:
+            words.clear()
+        new = list({w for some in split for w in some}.difference(words))
+        for i in range(0, len(new), 2_000):
+            some = new[i : i + 2_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+            for word, start, end in zip(some, [0, *ends], ends, strict=False):
+                words[word] = ids[start:end].tobytes()
+            if len(ends) != len(some):
+                raise ValueError("a word has no last token: the tokenizer is not of the word kind")
+        return {run: b"".join(map(words.__getitem__, some)) for run, some in zip(runs, split)}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""

@@ -12,13 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 #: A record larger than this goes on in continuation records.
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 8 << 10
-#: Records in a file, and so at most 32 MB of them.
-FILE_RECORDS = 1_500
+#: Records in a file, and so at most 8 MB of them.
+FILE_RECORDS = 500
 #: Copies of one payload are dealt over so many parts of a join.
 SALTS = 8
 END = b"\r\n\r\n"
@@ -194,6 +194,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(pages: DataFrame) -> DataFrame:
     """pages with payload_bytes, a revisit's taken from the response that it refers to."""
     out = pages.select("id", "url", "payload_digest", "record_type", "refers_to", F.length("payload").cast("long").alias("n"))
+    out = written(out, "warc-read")
     revisits = out.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).drop("n")
     wanted = out.where("record_type = 'response'").groupBy(F.col("id").alias("w_id"), F.col("payload_digest").alias("w_digest")).agg(F.max("n").alias("n"))
     wanted = wanted.join(revisits.select(F.col("refers_to").alias("w_id")).distinct(), "w_id", "left_semi")
