@@ -25,15 +25,15 @@ def _part(length: Column, part: int, edits: int) -> tuple[Column, Column]:
     return (part - 1) * base + F.greatest(F.lit(0), F.lit(part - 1 - n) + longer), base + (F.lit(part) > F.lit(n) - longer).cast("int")
 
 
-def segment_keys(line: Column, edits: int, least: int) -> Column:
-    """array<struct<key long, indexed boolean>> of a line: its own segments, and the substrings to probe with.
+def segment_keys(line: Column, n: Column, edits: int, least: int) -> Column:
+    """array<struct<key long, indexed boolean>> of a line of n characters: its own segments, and the substrings to
+    probe with; null where a probe would reach outside the line.
 
     A line within ``edits`` of a shorter or equally long one holds one of that one's edits + 1 segments unchanged. Up
     to so many edits before and behind it, the multi-match-aware rule leaves few places where segment i can stand:
     within i - 1 of its own place, and within edits + 1 - i of it counted from the end. Where length and place are
     the line's own, the probe is its own segment, so that entry serves as both.
     """
-    n = F.char_length(line)
     made = []
     for part in range(1, edits + 2):
         start, size = _part(n, part, edits)
@@ -48,7 +48,7 @@ def segment_keys(line: Column, edits: int, least: int) -> Column:
                 if longer or shift:
                     fits = (length >= least) & (start + shift >= 0) & (start + shift + size <= n)
                     made.append(F.when(fits, F.struct(_key(line, length, part, start + shift, size).alias("key"), F.lit(False).alias("indexed"))))
-    return F.filter(F.array(*made), lambda x: x.isNotNull())
+    return F.array(*made)
 
 
 def banded_distance(longer: Column, shorter: Column, most: int) -> Column:
@@ -56,7 +56,7 @@ def banded_distance(longer: Column, shorter: Column, most: int) -> Column:
 
     Bits of a word stand for the 2 * most + 2 cells of a column around the diagonal; each character of the shorter
     string moves the band down by one and updates all cells with a few word operations (Hyyrö's form of Myers'
-    algorithm). Words are so short that sums cannot overflow. Lengths may differ by ``most`` at most.
+    algorithm). Words are so short that sums cannot overflow. Lengths differ by ``most`` at most and exceed it.
     """
     w = 2 * most + 2
     full = (1 << w) - 1
@@ -102,27 +102,36 @@ def _counts(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, pos, line, h1, h2) of the lines long enough; both hashes together name a line."""
+    """(id, pos, line, n, h1, h2) of the lines of at least ``least`` characters; both hashes together name a line."""
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return each.where(F.char_length("line") >= least).select("id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    each = each.select("id", "pos", "line", F.char_length("line").alias("n")).where(F.col("n") >= least)
+    return each.select("id", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+
+
+def _keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(h1, h2, key, indexed) of each segment and probe."""
+    keys = lines.select("h1", "h2", F.explode(segment_keys(F.col("line"), F.col("n"), edits, least)).alias("k"))
+    return keys.where("k is not null").select("h1", "h2", "k.key", "k.indexed")
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
     """All pairs of different lines within ``edits`` edits, each once: (a1, a2, b1, b2), the pair of hashes of both.
 
-    Equal lines are one from the start, so a line that every document repeats costs no more than another. Keys
-    that only one line has go next. What is left is joined by key, where a pair must also differ little in its
-    counts of common characters; only pairs that pass leave the join, to be verified.
+    Keys that one line alone has, however often it stands in the corpus, go first: an aggregation by key, which
+    gathers copies before it shuffles, and a join against the keys left, which may be split where it is skewed.
+    Neither moves text. The lines left are fetched, each once, and joined by key, where a pair must also differ
+    little in its counts of common characters; only pairs that pass leave the join, to be verified. Lines must be
+    longer than ``edits``.
     """
+    if least <= 2 * edits:
+        raise ValueError("least must be above 2 * edits")
     each = _lines(docs.select(F.lit(0).alias("id"), text_col), "id", text_col, least)
-    distinct = each.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    keys = distinct.select("h1", "h2", F.explode(segment_keys(F.col("line"), edits, least)).alias("k")).select("h1", "h2", "k.key", "k.indexed")
+    keys = _keys(each, edits, least)
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
-    live = keys.join(shared, "key")
-    line = distinct.join(live.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    live = written(live, "line-keys")
-    line = written(line.select("h1", "h2", "line", F.char_length("line").alias("n"), _counts(F.col("line")).alias("counts")), "lines")
-    full = live.join(line.select("h1", "h2", "n", "counts"), ["h1", "h2"])
+    live = written(keys.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "line-keys")
+    line = each.select("h1", "h2", "line", "n").join(live, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    line = written(line.withColumn("counts", _counts(F.col("line"))), "lines")
+    full = _keys(line, edits, least).join(line.select("h1", "h2", "n", "counts"), ["h1", "h2"])
     r = full.where("indexed").select("key", *[F.col(c).alias(f"r_{c}") for c in ("h1", "h2", "n", "counts")])
     s = full.select("key", "indexed", *[F.col(c).alias(f"s_{c}") for c in ("h1", "h2", "n", "counts")])
     once = ~F.col("indexed") | (F.struct("r_h1", "r_h2") < F.struct("s_h1", "s_h2"))

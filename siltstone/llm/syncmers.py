@@ -68,18 +68,24 @@ def as_string(a: Column) -> Column:
 def with_next(rows: DataFrame, carried: list[str], id_col: str = "doc_id") -> DataFrame:
     """rows with next_<c> for each carried column: that of the row that follows by id; the first follows the last.
 
-    Rows are dealt by floor(id / 1024) and put in order there, so a window holds few rows; the first row of each
-    bucket is also sent to the bucket before it. Only a row a bucket (of ids alone) is ordered in one place. Null ids come first; rows of one id are in the order of
-    the carried columns.
+    Rows are dealt once by floor(id / 1024) and put in order there, so a window holds few rows. The last row of a
+    bucket gets its next from the first of the bucket that follows: a join of one row a bucket on either side, for
+    which only the buckets' numbers are put in order in one place. Null ids come first; rows of one id are in the
+    order of the carried columns.
     """
     bucket = F.coalesce(F.floor(F.col(id_col) / BUCKET).cast("long"), F.lit(-(1 << 62)))
-    b = rows.select(F.col(id_col), bucket.alias("bucket"), F.lit(0).alias("guest"), *carried)
     order = W.orderBy("bucket")
-    low = rows.select(F.col(id_col), bucket.alias("bucket")).groupBy("bucket").agg(F.min(id_col).alias("low"))
-    before = low.select("low", F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("before"))
-    guests = b.join(before, (b["bucket"] == before["own"]) & b[id_col].eqNullSafe(before["low"])).select(id_col, F.col("before").alias("bucket"), F.lit(1).alias("guest"), *carried)
-    turn = W.partitionBy("bucket").orderBy("guest", F.col(id_col).asc_nulls_first(), *carried)
-    return b.union(guests).select("*", *[F.lead(c).over(turn).alias(f"next_{c}") for c in carried]).where("guest = 0").drop("guest", "bucket")
+    known = rows.select(bucket.alias("bucket")).distinct()
+    low = F.min("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    after = known.select("bucket", F.coalesce(F.lead("bucket").over(order), low).alias("after"))
+    dealt = rows.select(id_col, *carried, bucket.alias("bucket")).repartition("bucket")
+    turn = W.partitionBy("bucket").orderBy(F.col(id_col).asc_nulls_first(), *carried)
+    placed = dealt.select("*", F.row_number().over(turn).alias("turn"), *[F.lead(c).over(turn).alias(f"next_{c}") for c in carried], F.lead(F.lit(1)).over(turn).alias("more"))
+    names = [id_col, *carried, *[f"next_{c}" for c in carried]]
+    inner = placed.where("more is not null").select(names)
+    lasts = placed.where("more is null").select(id_col, *carried, "bucket").join(after, "bucket")
+    firsts = placed.where("turn = 1").select(F.col("bucket").alias("after"), *[F.col(c).alias(f"next_{c}") for c in carried])
+    return inner.union(lasts.join(firsts, "after").select(names))
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
