@@ -129,7 +129,8 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, text
     keys = _keys(each, edits, least)
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
     live = written(keys.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "line-keys")
-    line = each.select("h1", "h2", "line", "n").join(live, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    # Merged at any size: the lines are the whole corpus, and live grows with it, so one plan should hold throughout.
+    line = each.select("h1", "h2", "line", "n").join(live.hint("merge"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     line = written(line.withColumn("counts", _counts(F.col("line"))), "lines")
     full = _keys(line, edits, least).join(line.select("h1", "h2", "n", "counts"), ["h1", "h2"])
     r = full.where("indexed").select("key", *[F.col(c).alias(f"r_{c}") for c in ("h1", "h2", "n", "counts")])

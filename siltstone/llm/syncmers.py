@@ -89,19 +89,19 @@ def with_next(rows: DataFrame, carried: list[str], id_col: str = "doc_id") -> Da
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, sketch, edited, next_sketch): edited has its second half replaced by the start of the next text.
+    """(id, text, next_text, edited): edited has its second half replaced by the start of the next text.
 
-    The text is shuffled once, with its sketch. Null text: empty. One row: it is its own next.
+    Texts alone are shuffled, once: expressions with lambdas before the shuffle would keep its readers from sharing
+    it, so sketches are left for later. Null text: empty. One row: it is its own next.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("text"), sketch(anchors(text)).alias("sketch"))
-    met = with_next(rows, ["text", "sketch"], id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    met = with_next(rows, ["text"], id_col)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    return met.select(id_col, "text", "sketch", edited.alias("edited"), "next_sketch")
+    return met.select(id_col, "text", "next_text", edited.alias("edited"))
 
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = with_edits(documents(spark, sf_dir).select("doc_id", "text"))
-    made = made.withColumn("edited_sketch", sketch(anchors(F.col("edited"))))
-    return made.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    made = made.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[sketch(anchors(F.col(c))).alias(n) for c, n in (("text", "own"), ("edited", "other"), ("next_text", "following"))])
+    return made.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("own")).alias("fingerprint"), as_string(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
