@@ -88,6 +88,14 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 50)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """mapInArrow, named for reading."""
+#: Rows that go to a Python worker at once. Texts are long, and the JVM, the worker and Arrow each hold a batch.
+ARROW_ROWS = 1_000
+_ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """mapInArrow with small batches; the session's setting is lowered if it is larger (0 means no bound)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW_SETTING, "10000")) <= ARROW_ROWS:
+        conf.set(_ARROW_SETTING, str(ARROW_ROWS))
     return df.mapInArrow(work, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_arrow
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -62,7 +62,7 @@ def fit(rows: DataFrame, alpha: float = 0.5, lang_col: str = "lang", text_col: s
 
     What reaches the driver is a count for each language and bucket: 2**15 rows a language, whatever the input.
     """
-    found = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    found = map_arrow(rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), _count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     langs = sorted(set(found["lang"]))
     row = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((len(langs), (1 << BITS) + 1))
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_arrow(rows, _scorer(spark.sparkContext.broadcast(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def bounded(rows: DataFrame, most: int, id_col: str, seed: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_arrow
 
 FRAME = 576
 #: Output rows wait until they hold so many bytes.
@@ -104,7 +104,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and repeated ids pass through; other columns of docs are not read; no rows: no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("data"))
-    out = rows.mapInArrow(_work, "id long, n_bytes long, media binary, payload binary, landmark_time array<int>, landmark_code array<int>")
+    out = map_arrow(rows, _work, "id long, n_bytes long, media binary, payload binary, landmark_time array<int>, landmark_code array<int>")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_arrow
 
 #: Characters whose tokens depend neither on Unicode tables nor on the text around their run of non-spaces.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ‐-‧‰-⁞]")
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     ids are packed like others. No rows: no rows. Other columns of docs are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_packer(tokenizer_path, capacity, end_id, group_windows, largest_piece), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = map_arrow(rows, _packer(tokenizer_path, capacity, end_id, group_windows, largest_piece), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 

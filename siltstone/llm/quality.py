@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, documents, written
+from .common import discard, documents, map_arrow, written
 from .language import bounded
 
 BITS = 16
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, targets: list[int], shrink: float = 10.0, id_col: str =
     spark = docs.sparkSession
     ids = spark.sparkContext.broadcast(frozenset(targets))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("data"))
-    got = rows.mapInArrow(_counter(ids), "bucket int, raw long, wanted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("wanted").alias("wanted")).toArrow().to_pydict()
+    got = map_arrow(rows, _counter(ids), "bucket int, raw long, wanted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("wanted").alias("wanted")).toArrow().to_pydict()
     raw, wanted = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = np.array(got["bucket"], dtype=np.int64)
     raw[at] = got["raw"]
@@ -129,7 +129,7 @@ def weigh(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
     keep = [c for c in docs.columns if c.lower() not in ("log_weight", "n_features", "sort_key")]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("__data"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(table)), f"{kinds}, log_weight double, n_features long")
+    out = map_arrow(rows, _scorer(docs.sparkSession.sparkContext.broadcast(table)), f"{kinds}, log_weight double, n_features long")
     return out.withColumn("sort_key", F.col("log_weight") + gumbel(id_col, seed))
 
 

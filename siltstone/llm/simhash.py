@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, written
+from .common import components, documents, map_arrow, written
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 QUARTERS = 4
@@ -53,7 +53,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, bits): bits is the 64-bit fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
-    return rows.mapInArrow(_fingerprints(shingle), "id long, bits long")
+    return map_arrow(rows, _fingerprints(shingle), "id long, bits long")
 
 
 class Tree:
@@ -204,7 +204,7 @@ def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col:
     asked = others.select(F.col("o_id").alias("q_id")).union(others.select(F.col("head").alias("q_id"))).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("data"))
     rows = rows.join(asked, rows["id"].eqNullSafe(asked["q_id"]), "left_semi")
-    sets = written(rows.mapInArrow(_shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
+    sets = written(map_arrow(rows, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
     met = others.join(sets.withColumnRenamed("shingles", "own"), F.col("o_id").eqNullSafe(F.col("id"))).drop("id")
     met = met.join(sets.withColumnRenamed("shingles", "first"), F.col("head") == F.col("id"))
     shared = F.size(F.array_intersect("own", "first"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, map_arrow, written
 from .quality import _Powers, _mixed
 from .suffixes import suffix_array
 
@@ -140,10 +140,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("data")).where("doc is not null and data is not null")
     names = ["anchor", "whole"]
-    seen = rows.mapInArrow(_anchors(LENGTH, ANCHOR, names), "anchor long, whole long")
+    seen = map_arrow(rows, _anchors(LENGTH, ANCHOR, names), "anchor long, whole long")
     shared = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") < F.max("whole")).alias("mixed")).where("n > 1").select("anchor", "mixed")
     names = ["anchor", "whole", "doc", "start", "more"]
-    runs = rows.mapInArrow(_anchors(LENGTH, ANCHOR, names), "anchor long, whole long, doc long, start long, more int")
+    runs = map_arrow(rows, _anchors(LENGTH, ANCHOR, names), "anchor long, whole long, doc long, start long, more int")
     live = written(runs.join(shared, "anchor"), "runs")
     firsts = live.groupBy("anchor", "whole").agg(F.min(F.struct("doc", "start")).alias("head"), F.first("more").alias("more"), F.first("mixed").alias("mixed"), F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.select("anchor", "whole", "head.doc", "head.start", "more", "mixed", "n"), "firsts")
@@ -201,7 +201,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spans = repeated_spans(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("data"))
-    return rows.join(spans, "doc", "left").select("doc", "data", "spans").mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc", id_col)
+    return map_arrow(rows.join(spans, "doc", "left").select("doc", "data", "spans"), _cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc", id_col)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

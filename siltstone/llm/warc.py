@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, map_arrow, written
 
 #: A record larger than this goes on in continuation records.
 SEGMENT_BYTES = 16 << 10
@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, minimum: int = 0, id_col: str =
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     met = rows.withColumn("salt", salt).join(same, (F.col("digest") == F.col("s_digest")) & (F.col("salt") == F.col("s_salt")), "left")
     refers = F.when((F.col("id").isNull() & F.col("first").isNotNull()) | (F.col("id") < F.col("first")), F.col("first"))
-    made = met.select("id", "url", "payload", refers.alias("refers_to")).mapInArrow(_to_records, "record binary")
+    made = map_arrow(met.select("id", "url", "payload", refers.alias("refers_to")), _to_records, "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -179,7 +179,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     numbers or a sum of lengths other than WARC-Segment-Total-Length is an error. Chunked framing is then decoded
     and the digest checked. A group is one record's segments, no more. payload is null for revisits.
     """
-    seen = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_from_archives, "origin string, segment int, total long, id long, kind string, url string, digest string, refers_to long, block binary")
+    seen = map_arrow(spark.read.format("binaryFile").load(path).select("content"), _from_archives, "origin string, segment int, total long, id long, kind string, url string, digest string, refers_to long, block binary")
     fields = ["id", "kind", "url", "digest", "refers_to"]
     single = seen.where("origin is null").select(*fields, "block")
     parts = F.sort_array(F.collect_list(F.struct("segment", "block")))
@@ -188,7 +188,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     split = split.withColumn("block", block)
     sound = (F.col("total") == F.length("block")) & (F.element_at("parts", -1)["segment"] == F.size("parts")) & F.col("kind").isNotNull()
     split = split.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("origin"))).cast("binary")))
-    return single.union(split.select(*fields, "block")).select("id", "kind", "url", "digest", "refers_to", "block").mapInArrow(_decode, "id long, record_type string, url string, payload binary, payload_digest string, refers_to long")
+    return map_arrow(single.union(split.select(*fields, "block")).select("id", "kind", "url", "digest", "refers_to", "block"), _decode, "id long, record_type string, url string, payload binary, payload_digest string, refers_to long")
 
 
 def resolved(pages: DataFrame) -> DataFrame:
