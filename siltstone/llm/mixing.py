@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, boxed, documents, unboxed
+from .common import WORD, boxed, documents, unboxed, written
 
 WEIGHTS = (5, 2, 1)
 #: Below this many sources the block plan has at most 256 rows a source, some 130,000 short rows, and is broadcast.
@@ -89,11 +89,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3,
     b = blocks.select("src", "block", "block_size", before.alias("before")).join(s, F.col("src").eqNullSafe(F.col("s_src"))).drop("s_src")
     kind = F.when(F.col("before") + F.col("block_size") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
     b = b.withColumn("kind", kind).withColumn("copies", F.col("epochs") + (F.col("kind") > 0).cast("int"))
+    # Small tables, of up to 256 rows a source, cut the plan where several readers need them.
+    b = written(b, "mix-blocks")
     draws = b.where("copies > 0").select("src", "block", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     dealt = splitting_tree(draws, shard_levels, seed).groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("dealt"))
     dealt = dealt.select(F.col("src").alias("d_src"), F.col("block").alias("d_block"), F.col("dealt.shard").alias("shards"))
     plan = b.join(dealt, F.col("src").eqNullSafe(F.col("d_src")) & (F.col("block") == F.col("d_block")), "left")
     plan = plan.select(F.col("src").alias("p_src"), F.col("block").alias("p_block"), "kind", "before", "rest", "source_size", "target", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    plan = written(plan, "mix-plan")
     if docs.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     d = d.join(plan, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("block") == F.col("p_block"))).drop("p_src", "p_block")
