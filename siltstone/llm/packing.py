@@ -28,7 +28,7 @@ class WordCache:
     neighbours. Texts with other characters than common Latin ones go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
