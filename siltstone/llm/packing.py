@@ -22,10 +22,11 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class WordCache:
-    """Ids of whole texts; runs of non-spaces are encoded once and remembered.
+    """Ids of whole texts; runs of non-spaces and the words in them are encoded once and remembered.
 
     A tokenizer of the word kind splits at white space and lower-cases first, so a run's ids don't depend on its
-    neighbours. Texts with other characters than common Latin ones go through the tokenizer as a whole.
+    neighbours. Texts with other characters than common Latin ones go through the tokenizer as a whole. Runs and words
+    share one table, since a word by itself is a run of the same ids; it is emptied when it holds more than most.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -33,7 +34,6 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.known = most, {}
-        self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -41,22 +41,22 @@ class WordCache:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def apart(self, runs: list[str]) -> dict[str, bytes]:
-        """Ids of each run. New words go to the tokenizer in one text; a word's last token is one that closes words."""
+    def learn(self, runs: list[str]) -> None:
+        """Add runs to the table. New words go to the tokenizer in one text; a word's last token is one that closes words."""
+        known = self.known
         split = list(map(_WORD.findall, runs))
-        words = self.words
-        if len(words) > self.most:
-            words.clear()
-        new = list({w for some in split for w in some}.difference(words))
+        new = list({w for some in split for w in some}.difference(known))
         for i in range(0, len(new), 2_000):
             some = new[i : i + 2_000]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
             for word, start, end in zip(some, [0, *ends], ends, strict=False):
-                words[word] = ids[start:end].tobytes()
+                known[word] = ids[start:end].tobytes()
             if len(ends) != len(some):
                 raise ValueError("a word has no last token: the tokenizer is not of the word kind")
-        return {run: b"".join(map(words.__getitem__, some)) for run, some in zip(runs, split)}
+        for run, some in zip(runs, split):
+            if run not in known:
+                known[run] = b"".join(map(known.__getitem__, some))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -66,13 +66,10 @@ class WordCache:
         known = self.known
         found = list(map(known.get, runs))
         if None in found:
-            new = list({r for r, f in zip(runs, found) if f is None})
-            more = self.apart(new)
-            found = [more[r] if f is None else f for r, f in zip(runs, found)]
-            if len(known) + len(more) > self.most:
+            self.learn(list({r for r, f in zip(runs, found) if f is None}))
+            found = [known[r] if f is None else f for r, f in zip(runs, found)]
+            if len(known) > self.most:
                 known.clear()
-            if len(more) <= self.most:
-                known.update(more)
         return b"".join(found)
 
 
