@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ FILE_RECORDS = 500
 #: Copies of one payload are dealt over so many parts of a join.
 SALTS = 8
 END = b"\r\n\r\n"
+#: First bytes of a gzip file.
+GZIP = b"\x1f\x8b"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -118,7 +121,7 @@ def write_archives(pages: DataFrame, path: str, minimum: int = 0, id_col: str =
 
     Of rows with equal payloads of at least ``minimum`` bytes, that with the largest id is a response and the others
     revisit it; rows with smaller payloads are all responses. The text writer's line separator is the two blank lines
-    that end a record, so the files are plain archives, written and committed by Spark in any store it knows.
+    that end a record, so the files are archives, compressed whole by gzip, written and committed by Spark in any store it knows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"))
@@ -128,7 +131,7 @@ def write_archives(pages: DataFrame, path: str, minimum: int = 0, id_col: str =
     met = rows.withColumn("salt", salt).join(same, (F.col("digest") == F.col("s_digest")) & (F.col("salt") == F.col("s_salt")), "left")
     refers = F.when((F.col("id").isNull() & F.col("first").isNotNull()) | (F.col("id") < F.col("first")), F.col("first"))
     made = map_arrow(met.select("id", "url", "payload", refers.alias("refers_to")), _to_records, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _from_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +145,8 @@ def _from_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for content in batch.column(0):
             rows, held = [], 0
-            for f, block in parse(content.as_py()):
+            data = content.as_py()
+            for f, block in parse(gzip.decompress(data) if data[:2] == GZIP else data):
                 whole = f["warc-type"] == "response" and "warc-segment-number" not in f
                 origin = None if whole or f["warc-type"] == "revisit" else f.get("warc-segment-origin-id", f["warc-record-id"])
                 rows.append((origin, number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), number(f.get("page-id")), f["warc-type"], f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(f.get("refers-to-page-id")), block))
@@ -173,7 +177,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of the WARC files in the folder path: id, record_type, url, payload, payload_digest, refers_to.
+    """Pages of the WARC files in the folder path, plain or gzip (whole or by record): id, record_type, url, payload, payload_digest, refers_to.
 
     Continuation records are grouped by their origin's id, ordered by segment number and joined; a gap in the
     numbers or a sum of lengths other than WARC-Segment-Total-Length is an error. Chunked framing is then decoded
