@@ -598,3 +598,6 @@ SELECT key, conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY
 def trace_lookup(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumns({"sample_id": F.concat(F.lit("s"), F.col("conv_id")), "doc_id": F.concat(F.lit("d"), F.col("turn")), "id": F.lit(None).cast("string"), "file_rank": F.col("turn"), "seq": F.col("conv_id")})
     return traces.latest_by_key(c).select("key", "conv_id", "turn", "text")
+
+
+from siltstone.plans import probes as _probes  # noqa: E402, F401  (adds its queries; it needs the names above)
