@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -22,23 +23,41 @@ LEAF = 64
 VANTAGE = (0x00FF, 0x0F0F, 0x3333, 0x5555)
 
 
-def fingerprint(data: bytes, shingle: int = 4, seed: int = 42, chunk: int = 1 << 16) -> int:
-    """SimHash of UTF-8 text: a bit is 1 if set in over half of the XXH64 hashes of the word shingles."""
+def _hashes(data: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of UTF-8 text, repeats included; A-Z are lower-cased."""
     words = _WORDS.findall(data.lower())  # bytes.lower changes A-Z only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends.tolist()
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, last)), dtype=np.uint64, count=n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, last)), dtype=np.uint64, count=len(last))
+
+
+def _majority(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, chunk):
+    for at in range(0, len(hashes), chunk):
         ones += np.unpackbits(hashes[at : at + chunk].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """SimHash of UTF-8 text: a bit is 1 if set in over half of the XXH64 hashes of the word shingles."""
+    return _majority(_hashes(data, shingle, seed))
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes as if of another seed, by the finalizer of SplitMix64; k = 0: the hashes themselves."""
+    if not k:
+        return hashes
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def _fingerprints(shingle: int):
@@ -102,33 +121,39 @@ class Tree:
                         yield other[q], some[p]
 
 
-def _forest(radius: int):
+def _forest(radius: int, words: int, apart: int | None):
     def work(shard: pd.DataFrame) -> pd.DataFrame:
         """Edges of a spanning forest of the links within one shard: at most one for each row of it."""
         home = shard["home"].to_numpy()
-        bits = shard["bits"].to_numpy().view(np.uint64)
-        points, queries = bits[home], bits
-        if not len(points):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         own = np.flatnonzero(home)
-        parent = np.arange(len(bits))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        if not len(own):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        wide = np.stack([shard[f"w{i}"].to_numpy().view(np.uint64) for i in range(words)], axis=1)
+        bits = np.ascontiguousarray(wide[:, int(shard["tree"].iloc[0]) // QUARTERS])
+        label = np.arange(len(bits))
         out = []
-        for q, p in Tree(points).pairs(queries, radius):
-            for x, y in zip(q.tolist(), own[p].tolist()):
-                x0, y0 = root(x), root(y)
-                if x0 != y0:
-                    parent[max(x0, y0)] = min(x0, y0)
-                    out.append((x, y))
-        a, b = (np.array(c, dtype=np.int64) for c in (zip(*out) if out else ((), ())))
-        signed = shard["bits"].to_numpy()
-        return pd.DataFrame({"a": signed[a], "b": signed[b]})
+        for x, p in Tree(bits[own]).pairs(bits, radius):
+            y = own[p]
+            while True:
+                apart_yet = label[x] != label[y]
+                x, y = x[apart_yet], y[apart_yet]
+                if apart is not None and len(x):
+                    near = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= apart
+                    x, y = x[near], y[near]
+                if not len(x):
+                    break
+                # Each tree that meets one of a smaller label joins one such tree.
+                high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
+                joins, at = np.unique(high, return_index=True)
+                out.append((x[at], y[at]))
+                to = np.arange(len(bits))
+                to[joins] = low[at]
+                while (to[to] != to).any():
+                    to = to[to]
+                label = to[label]
+        ids = shard["id"].to_numpy()
+        a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     return work
 
@@ -141,25 +166,29 @@ def _shard(quarter):
     return code
 
 
-def links(bits: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within radius bits.
+def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None = None) -> DataFrame:
+    """Edges (a, b) of ids whose components are those of all pairs of nodes within radius bits in any of their words.
 
-    radius < 8. Of two fingerprints within radius, some quarter of 16 bits differs in at most radius // 4 bits (one,
-    for 4). So there is a tree for each quarter. Its upper levels are the same everywhere: the shard of a point is
-    its quarter's distances from four fixed vantage points. By the triangle inequality a neighbour's distances differ
-    by at most that allowance, so as a query a fingerprint visits its own shard and those across the boundary that a
-    change of one bit can reach. In a shard a vantage-point tree over whole fingerprints gives the exact pairs; of
-    these a spanning forest goes on, so no shard emits more rows than it got, however many copies it holds.
+    nodes: id, w0, w1 ... (64-bit words of a fingerprint), ids unique. With ``apart``, pairs must besides differ in
+    at most so many bits of all words together. radius < 8. Of two words within radius, some quarter of 16 bits
+    differs in at most radius // 4 bits (one, for 4). So there is a tree for each quarter. Its upper levels are the
+    same everywhere: the shard of a point is its quarter's distances from four fixed vantage points. By the triangle
+    inequality a neighbour's distances differ by at most that allowance, so as a query a word visits its own shard
+    and those across the boundary that clearing one bit can reach; of two quarters one bit apart, one reaches the
+    other so. In a shard a vantage-point tree over whole words gives the exact pairs; of these a spanning forest
+    goes on, so no shard emits more rows than it got, however many near copies it holds.
     """
     if not 0 <= radius < 2 * QUARTERS:
         raise ValueError("radius must be below 8")
-    each = bits.select("bits").distinct()
-    parts = each.select("bits", F.explode(F.array(*[F.lit(i) for i in range(QUARTERS)])).alias("tree"))
-    parts = parts.select("bits", "tree", F.expr("shiftrightunsigned(bits, 16 * tree)").bitwiseAND(F.lit(0xFFFF)).alias("quarter"))
-    near = F.array(F.lit(0).cast("long"), *([F.lit(1 << i).cast("long") for i in range(16)] if radius >= QUARTERS else []))
-    visits = parts.select("bits", "tree", "quarter", F.explode(F.array_distinct(F.transform(near, lambda x: _shard(F.col("quarter").bitwiseXOR(x))))).alias("shard"))
-    visits = visits.select("bits", "tree", "shard", (F.col("shard") == _shard(F.col("quarter"))).alias("home"))
-    return visits.groupBy("tree", "shard").applyInPandas(_forest(radius), "a long, b long")
+    names = [f"w{i}" for i in range(words)]
+    parts = nodes.select("id", *names, F.explode(F.array(*[F.lit(i) for i in range(QUARTERS * words)])).alias("tree"))
+    word = F.element_at(F.array(*names), F.floor(F.col("tree") / QUARTERS).cast("int") + 1)
+    parts = parts.select("id", *names, "tree", F.call_function("shiftrightunsigned", word, (F.col("tree") % QUARTERS) * 16).bitwiseAND(F.lit(0xFFFF)).alias("quarter"))
+    bits = F.array(F.lit(0).cast("long"), *([F.lit(1 << i).cast("long") for i in range(16)] if radius >= QUARTERS else []))
+    near = F.filter(bits, lambda x: F.col("quarter").bitwiseAND(x) == x)
+    visits = parts.select("id", *names, "tree", "quarter", F.explode(F.array_distinct(F.transform(near, lambda x: _shard(F.col("quarter").bitwiseXOR(x))))).alias("shard"))
+    visits = visits.select("id", *names, "tree", "shard", (F.col("shard") == _shard(F.col("quarter"))).alias("home"))
+    return visits.groupBy("tree", "shard").applyInPandas(_forest(radius, words, apart), "a long, b long")
 
 
 def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -170,7 +199,8 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_c
     Repeated ids keep a row each. No rows: no rows. Other columns of docs are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    joined = components(links(prints, radius), "simhash-links")
+    nodes = prints.select(F.col("bits").alias("id"), F.col("bits").alias("w0")).distinct()
+    joined = components(links(nodes, radius), "simhash-links")
     first = prints.groupBy("bits").agg(F.min("id").alias("first"))
     group = first.join(joined.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
     name = group.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -178,39 +208,70 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_c
     return prints.join(named, "bits").select(F.col("id").alias(id_col), "bits", "component_id")
 
 
-def _shingle_sets(shingle: int, seed: int = 42):
+def _sketches(shingle: int, words: int):
+    names = ["id", "s1", "s2", *[f"w{i}" for i in range(words)]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.empty((2 + words, len(batch)), dtype=np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                hashes = _hashes(text.as_py() or b"", shingle)
+                whole = np.unique(hashes).tobytes()
+                made[:2, i] = [xxhash.xxh64_intdigest(whole, seed) for seed in (1, 2)]
+                made[2:, i] = [_majority(_mixed(hashes, k)) for k in range(words)]
+            yield pa.record_batch([batch.column(0), *[pa.array(m.view(np.int64)) for m in made]], names)
+
+    return work
+
+
+def _shingle_sets(shingle: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for text in batch.column(1):
-                words = _WORDS.findall((text.as_py() or b"").lower())
-                n = max(1, len(words) - shingle + 1) if words else 0
-                made.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype=np.uint64, count=n)).view(np.int64))
+            made = [np.unique(_hashes(text.as_py() or b"", shingle)).view(np.int64) for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
 
     return work
 
 
-def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the near copies of others: of each group of near_groups the row of the smallest id stays.
+def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+    """docs without the near copies of others: those of a Jaccard similarity of word shingles of ``similarity`` or
+    more to a document that stays.
+
+    Documents of the same set of shingles are one, the smallest id. The others' fingerprints have ``words`` words of
+    64 bits; documents within ``radius`` bits in any word and a quarter of all bits are linked, so near by chance is
+    out. In each round the smallest id of each component stays, and its members are compared with it: the alike go,
+    the others enter the next round without it, until none is left. So of two alike, linked documents one goes,
+    whatever chains lead through their group, and each goes for one that stays. Rounds are as many as the documents
+    that stay of one component at most; after the first they read linked documents alone.
 
-    So do rows whose Jaccard similarity of word shingles to that row is below ``similarity``: fingerprints may be
-    near by chance, the more the larger the corpus, and over a chain of links. The comparison reads only groups of
-    several rows, each row once against its group's first. Texts without words have no shingles and count as alike.
-    Of rows that repeat a kept id, one stays.
+    Texts without words have no shingles and count as alike. Null ids come first in order and are one document. Rows
+    that share an id go together, or one of them stays. No rows: no rows. Other columns are kept as they are.
     """
-    groups = written(near_groups(docs, radius, id_col, text_col, shingle), "simhash-groups")
-    others = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("o_id"), F.col("component_id").alias("head"))
-    asked = others.select(F.col("o_id").alias("q_id")).union(others.select(F.col("head").alias("q_id"))).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("data"))
-    rows = rows.join(asked, rows["id"].eqNullSafe(asked["q_id"]), "left_semi")
-    sets = written(map_arrow(rows, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
-    met = others.join(sets.withColumnRenamed("shingles", "own"), F.col("o_id").eqNullSafe(F.col("id"))).drop("id")
-    met = met.join(sets.withColumnRenamed("shingles", "first"), F.col("head") == F.col("id"))
-    shared = F.size(F.array_intersect("own", "first"))
-    alike = shared >= similarity * (F.size("own") + F.size("first") - shared)
-    gone = met.where(alike).select(F.col("o_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti").dropDuplicates([id_col])
+    node = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(node.alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
+    names = [f"w{i}" for i in range(words)]
+    prints = written(map_arrow(rows, _sketches(shingle, words), "id long, s1 long, s2 long, " + ", ".join(f"{n} long" for n in names)), "simhash-sketches")
+    firsts = written(prints.groupBy("s1", "s2").agg(F.min(F.struct("id", *names)).alias("first")), "simhash-firsts")
+    gone = [prints.join(firsts, ["s1", "s2"]).where(F.col("id") != F.col("first.id")).select("id")]
+    live = firsts.select("first.*").dropDuplicates(["id"])
+    sets = None
+    while True:
+        found = components(links(live, radius, words, 16 * words), "simhash-links")
+        if sets is None:
+            asked = rows.join(found.select(F.col("node").alias("id")), "id", "left_semi")
+            sets = written(map_arrow(asked, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
+        met = found.where("node <> component").join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("own")), "node")
+        met = met.join(sets.select(F.col("id").alias("component"), F.col("shingles").alias("head")), "component")
+        shared = F.size(F.array_intersect("own", "head"))
+        alike = shared >= similarity * (F.size("own") + F.size("head") - shared)
+        met = written(met.select(F.col("node").alias("id"), alike.alias("alike")), "simhash-met")
+        gone.append(met.where("alike").select("id"))
+        rest = met.where("not alike").select("id")
+        if rest.isEmpty():
+            break
+        live = written(live.join(rest, "id", "left_semi"), "simhash-live")
+    lost = functools.reduce(DataFrame.union, gone).distinct().withColumnRenamed("id", "__gone")
+    return docs.join(lost, node == F.col("__gone"), "left_anti").dropDuplicates([id_col])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

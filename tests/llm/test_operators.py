@@ -100,6 +100,48 @@ def test_fingerprint():
         assert simhash.fingerprint(text) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
 
+def test_one_each(spark):
+    """Against brute force: what goes is alike to something that stays, and nothing that stays is alike."""
+    rnd = random.Random(3)
+    texts = ["", " \t", None, "solo"]
+    for _ in range(8):
+        base = [f"w{rnd.randrange(10**5)}" for _ in range(250)]
+        texts += [" ".join(base)] * 3
+        for step in range(1, 12):
+            base = list(base)
+            for _ in range(rnd.choice([1, 1, 2, 4])):
+                base[rnd.randrange(250)] = f"x{rnd.randrange(10**5)}"
+            texts.append(" ".join(base))
+    d = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, node int")
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else {""} for t in texts]
+    kept = {r.doc_id for r in simhash.one_each(d).collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert {0, 3} <= kept and not {1, 2} & kept
+    for i in range(len(texts)):
+        best = max((alike(i, k) for k in kept if k != i), default=0)
+        assert best < 0.87 if i in kept else best >= 0.8
+    assert len(kept) < 60
+
+
+def test_links_of_words(spark):
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(40):
+        w = [rnd.getrandbits(64) for _ in range(2)]
+        for _ in range(5):
+            rows.append([x ^ sum(1 << b for b in rnd.sample(range(64), rnd.choice([0, 3, 5, 20]))) for x in w])
+    signed = [[x - (1 << 64) if x >> 63 else x for x in r] for r in rows]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(signed)], "id long, w0 long, w1 long")
+    got = {(r.node, r.component) for r in simhash.components(simhash.links(d, 7, 2, 20), "t").collect()}
+    group = list(range(len(rows)))
+    bits = lambda i, j, k: (rows[i][k] ^ rows[j][k]).bit_count()
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if min(bits(i, j, 0), bits(i, j, 1)) <= 7 and bits(i, j, 0) + bits(i, j, 1) <= 20]
+    for i, j in pairs * 3:
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    assert got == {(i, group[i]) for i in {x for p in pairs for x in p}} and len(pairs) > 20
+
+
 def distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
