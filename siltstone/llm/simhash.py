@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -121,22 +120,21 @@ class Tree:
                         yield other[q], some[p]
 
 
-def _forest(radius: int, words: int, apart: int | None):
-    def work(shard: pd.DataFrame) -> pd.DataFrame:
-        """Edges of a spanning forest of the links within one shard: at most one for each row of it."""
-        home = shard["home"].to_numpy()
-        own = np.flatnonzero(home)
-        if not len(own):
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        wide = np.stack([shard[f"w{i}"].to_numpy().view(np.uint64) for i in range(words)], axis=1)
-        bits = np.ascontiguousarray(wide[:, int(shard["tree"].iloc[0]) // QUARTERS])
-        label = np.arange(len(bits))
-        out = []
-        for x, p in Tree(bits[own]).pairs(bits, radius):
-            y = own[p]
+#: Pairs that are looked at together while a forest grows.
+PAIRS = 1 << 16
+
+
+def _forest(tree: int, home: np.ndarray, wide: np.ndarray, radius: int, apart: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges, as positions, of a spanning forest of the links within one shard: fewer than its rows."""
+    own = np.flatnonzero(home)
+    bits = np.ascontiguousarray(wide[:, tree // QUARTERS])
+    label = np.arange(len(bits))
+    for found, p in Tree(bits[own]).pairs(bits, radius):
+        for at in range(0, len(found), PAIRS):
+            x, y = found[at : at + PAIRS], own[p[at : at + PAIRS]]
             while True:
-                apart_yet = label[x] != label[y]
-                x, y = x[apart_yet], y[apart_yet]
+                open_yet = label[x] != label[y]
+                x, y = x[open_yet], y[open_yet]
                 if apart is not None and len(x):
                     near = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= apart
                     x, y = x[near], y[near]
@@ -144,16 +142,49 @@ def _forest(radius: int, words: int, apart: int | None):
                     break
                 # Each tree that meets one of a smaller label joins one such tree.
                 high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
-                joins, at = np.unique(high, return_index=True)
-                out.append((x[at], y[at]))
+                joins, first = np.unique(high, return_index=True)
+                yield x[first], y[first]
                 to = np.arange(len(bits))
-                to[joins] = low[at]
+                to[joins] = low[first]
                 while (to[to] != to).any():
                     to = to[to]
                 label = to[label]
-        ids = shard["id"].to_numpy()
-        a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+
+def _forests(radius: int, words: int, apart: int | None):
+    """Forests of the shards of rows (tree, shard, home, id, words) sorted by tree and shard."""
+
+    def edges(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) < 2 or not rows[:, 2].any():
+            return []
+        found = _forest(int(rows[0, 0]), rows[:, 2] != 0, rows[:, 4:].view(np.uint64), radius, apart)
+        return [rows[np.stack(pair, axis=1), 3] for pair in found]
+
+    def batch_of(out: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(out)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            ends = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            pieces = np.split(rows, ends)
+            out = []
+            if held and (held[-1][-1, :2] != rows[0, :2]).any():
+                out += edges(np.concatenate(held))
+                held = []
+            held.append(pieces[0])
+            for piece in pieces[1:]:
+                out += edges(np.concatenate(held))
+                held = [piece]
+            if out:
+                yield batch_of(out)
+        out = edges(np.concatenate(held)) if held else []
+        if out:
+            yield batch_of(out)
 
     return work
 
@@ -187,8 +218,9 @@ def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None =
     bits = F.array(F.lit(0).cast("long"), *([F.lit(1 << i).cast("long") for i in range(16)] if radius >= QUARTERS else []))
     near = F.filter(bits, lambda x: F.col("quarter").bitwiseAND(x) == x)
     visits = parts.select("id", *names, "tree", "quarter", F.explode(F.array_distinct(F.transform(near, lambda x: _shard(F.col("quarter").bitwiseXOR(x))))).alias("shard"))
-    visits = visits.select("id", *names, "tree", "shard", (F.col("shard") == _shard(F.col("quarter"))).alias("home"))
-    return visits.groupBy("tree", "shard").applyInPandas(_forest(radius, words, apart), "a long, b long")
+    visits = visits.select("tree", "shard", (F.col("shard") == _shard(F.col("quarter"))).cast("int").alias("home"), "id", *names)
+    sharded = visits.repartition("tree", "shard").sortWithinPartitions("tree", "shard")
+    return map_arrow(sharded, _forests(radius, words, apart), "a long, b long")
 
 
 def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -238,7 +270,7 @@ def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col:
     more to a document that stays.
 
     Documents of the same set of shingles are one, the smallest id. The others' fingerprints have ``words`` words of
-    64 bits; documents within ``radius`` bits in any word and a quarter of all bits are linked, so near by chance is
+    64 bits; documents within ``radius`` bits in any word and 13 in 64 of all bits are linked, so near by chance is
     out. In each round the smallest id of each component stays, and its members are compared with it: the alike go,
     the others enter the next round without it, until none is left. So of two alike, linked documents one goes,
     whatever chains lead through their group, and each goes for one that stays. Rounds are as many as the documents
@@ -256,7 +288,7 @@ def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col:
     live = firsts.select("first.*").dropDuplicates(["id"])
     sets = None
     while True:
-        found = components(links(live, radius, words, 16 * words), "simhash-links")
+        found = components(links(live, radius, words, 13 * words), "simhash-links")
         if sets is None:
             asked = rows.join(found.select(F.col("node").alias("id")), "id", "left_semi")
             sets = written(map_arrow(asked, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
