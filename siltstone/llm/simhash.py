@@ -124,7 +124,7 @@ class Tree:
 PAIRS = 1 << 16
 
 
-def _forest(tree: int, home: np.ndarray, wide: np.ndarray, radius: int, apart: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _forest(tree: int, home: np.ndarray, wide: np.ndarray, radius: int, apart: int | None, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges, as positions, of a spanning forest of the links within one shard: fewer than its rows."""
     own = np.flatnonzero(home)
     bits = np.ascontiguousarray(wide[:, tree // QUARTERS])
@@ -140,6 +140,9 @@ def _forest(tree: int, home: np.ndarray, wide: np.ndarray, radius: int, apart: i
                     x, y = x[near], y[near]
                 if not len(x):
                     break
+                if not forest:
+                    yield x, y
+                    break
                 # Each tree that meets one of a smaller label joins one such tree.
                 high, low = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
                 joins, first = np.unique(high, return_index=True)
@@ -151,13 +154,13 @@ def _forest(tree: int, home: np.ndarray, wide: np.ndarray, radius: int, apart: i
                 label = to[label]
 
 
-def _forests(radius: int, words: int, apart: int | None):
+def _forests(radius: int, words: int, apart: int | None, forest: bool):
     """Forests of the shards of rows (tree, shard, home, id, words) sorted by tree and shard."""
 
     def edges(rows: np.ndarray) -> list[np.ndarray]:
         if len(rows) < 2 or not rows[:, 2].any():
             return []
-        found = _forest(int(rows[0, 0]), rows[:, 2] != 0, rows[:, 4:].view(np.uint64), radius, apart)
+        found = _forest(int(rows[0, 0]), rows[:, 2] != 0, rows[:, 4:].view(np.uint64), radius, apart, forest)
         return [rows[np.stack(pair, axis=1), 3] for pair in found]
 
     def batch_of(out: list[np.ndarray]) -> pa.RecordBatch:
@@ -197,7 +200,7 @@ def _shard(quarter):
     return code
 
 
-def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None = None, forest: bool = True) -> DataFrame:
     """Edges (a, b) of ids whose components are those of all pairs of nodes within radius bits in any of their words.
 
     nodes: id, w0, w1 ... (64-bit words of a fingerprint), ids unique. With ``apart``, pairs must besides differ in
@@ -207,7 +210,8 @@ def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None =
     inequality a neighbour's distances differ by at most that allowance, so as a query a word visits its own shard
     and those across the boundary that clearing one bit can reach; of two quarters one bit apart, one reaches the
     other so. In a shard a vantage-point tree over whole words gives the exact pairs; of these a spanning forest
-    goes on, so no shard emits more rows than it got, however many near copies it holds.
+    goes on, so no shard emits more rows than it got, however many near copies it holds. Without ``forest`` all pairs
+    do, some more than once.
     """
     if not 0 <= radius < 2 * QUARTERS:
         raise ValueError("radius must be below 8")
@@ -220,7 +224,7 @@ def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None =
     visits = parts.select("id", *names, "tree", "quarter", F.explode(F.array_distinct(F.transform(near, lambda x: _shard(F.col("quarter").bitwiseXOR(x))))).alias("shard"))
     visits = visits.select("tree", "shard", (F.col("shard") == _shard(F.col("quarter"))).cast("int").alias("home"), "id", *names)
     sharded = visits.repartition("tree", "shard").sortWithinPartitions("tree", "shard")
-    return map_arrow(sharded, _forests(radius, words, apart), "a long, b long")
+    return map_arrow(sharded, _forests(radius, words, apart, forest), "a long, b long")
 
 
 def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -265,16 +269,25 @@ def _shingle_sets(shingle: int):
     return work
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, alike) of pairs of ids."""
+    met = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("own")), "b")
+    met = met.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("head")), "a")
+    shared = F.size(F.array_intersect("own", "head"))
+    alike = shared >= similarity * (F.size("own") + F.size("head") - shared)
+    return met.select("a", "b", alike.alias("alike"))
+
+
 def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """docs without the near copies of others: those of a Jaccard similarity of word shingles of ``similarity`` or
     more to a document that stays.
 
     Documents of the same set of shingles are one, the smallest id. The others' fingerprints have ``words`` words of
     64 bits; documents within ``radius`` bits in any word and 13 in 64 of all bits are linked, so near by chance is
-    out. In each round the smallest id of each component stays, and its members are compared with it: the alike go,
-    the others enter the next round without it, until none is left. So of two alike, linked documents one goes,
-    whatever chains lead through their group, and each goes for one that stays. Rounds are as many as the documents
-    that stay of one component at most; after the first they read linked documents alone.
+    out. In each of two rounds the smallest id of each component stays, and its members are compared with it: the
+    alike go, the others go on without it. By then groups of near copies are gone, and all linked pairs of what is
+    left are compared; there those go that are alike to an earlier one that stays. So of two alike, linked documents
+    one goes, whatever chains lead through their group, and each goes for one that stays.
 
     Texts without words have no shingles and count as alike. Null ids come first in order and are one document. Rows
     that share an id go together, or one of them stays. No rows: no rows. Other columns are kept as they are.
@@ -287,21 +300,22 @@ def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col:
     gone = [prints.join(firsts, ["s1", "s2"]).where(F.col("id") != F.col("first.id")).select("id")]
     live = firsts.select("first.*").dropDuplicates(["id"])
     sets = None
-    while True:
+    for _ in range(2):
         found = components(links(live, radius, words, 13 * words), "simhash-links")
         if sets is None:
             asked = rows.join(found.select(F.col("node").alias("id")), "id", "left_semi")
             sets = written(map_arrow(asked, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
-        met = found.where("node <> component").join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("own")), "node")
-        met = met.join(sets.select(F.col("id").alias("component"), F.col("shingles").alias("head")), "component")
-        shared = F.size(F.array_intersect("own", "head"))
-        alike = shared >= similarity * (F.size("own") + F.size("head") - shared)
-        met = written(met.select(F.col("node").alias("id"), alike.alias("alike")), "simhash-met")
-        gone.append(met.where("alike").select("id"))
-        rest = met.where("not alike").select("id")
-        if rest.isEmpty():
-            break
-        live = written(live.join(rest, "id", "left_semi"), "simhash-live")
+        met = written(_compared(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), sets, similarity), "simhash-met")
+        gone.append(met.where("alike").select(F.col("b").alias("id")))
+        live = written(live.join(met.where("not alike").select(F.col("b").alias("id")), "id", "left_semi"), "simhash-live")
+    pairs = links(live, radius, words, 13 * words, forest=False)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = written(_compared(pairs, sets, similarity).where("alike").select("a", "b"), "simhash-pairs")
+    while not edges.isEmpty():
+        stay = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        out = written(edges.join(stay, "a").select(F.col("b").alias("id")).distinct(), "simhash-out")
+        gone.append(out)
+        edges = written(edges.join(out, edges["a"] == out["id"], "left_anti").join(out, edges["b"] == out["id"], "left_anti"), "simhash-pairs")
     lost = functools.reduce(DataFrame.union, gone).distinct().withColumnRenamed("id", "__gone")
     return docs.join(lost, node == F.col("__gone"), "left_anti").dropDuplicates([id_col])
 
