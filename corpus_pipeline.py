@@ -24,9 +24,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: 256-bit fingerprints of five-word shingles, and a Jaccard
+    """One document of each near-duplicate group: fingerprints of 24 words over five-word shingles, and a Jaccard
     similarity of 0.8 or more to the document that stays."""
-    return simhash.one_each(docs, radius=7, shingle=5, similarity=0.8)
+    return simhash.one_each(docs, shingle=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,6 +244,103 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_c
     return prints.join(named, "bits").select(F.col("id").alias(id_col), "bits", "component_id")
 
 
+def _majorities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """_majority of _mixed(hashes, k) for each k < words: bits are counted in the eight bytes of a number at once."""
+    ones = np.zeros((words, 64), np.int64)
+    low = np.uint64(0x0101010101010101)
+    for at in range(0, len(hashes), 255):
+        some = np.stack([_mixed(hashes[at : at + 255], k) for k in range(words)])
+        for j in range(8):
+            sums = ((some >> np.uint64(j)) & low).sum(axis=1, dtype=np.uint64)
+            ones[:, j::8] += sums.astype("<u8").view(np.uint8).reshape(words, 8)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+
+
+#: Bits of a block, and the words whose bits are compared for rows that share one.
+BLOCK = 16
+CHECKED = 2
+
+
+def _earlier(rows: np.ndarray, apart: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs (earlier id, later id) within whole blocks of rows (block, id, words) sorted by block and id.
+
+    Without ``every``, each row comes with the first near one before it only.
+    """
+    bits = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+    cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
+    left = np.repeat(ends, ends - starts) - np.arange(len(rows)) - 1
+    large = np.repeat(ends - starts > LEAF, ends - starts)
+    first = np.full(len(rows), -1)
+
+    def near(x, y):
+        return np.bitwise_count(bits[x] ^ bits[y]).sum(axis=-1, dtype=np.int64) <= apart
+
+    ask = np.flatnonzero((left > 0) & ~large)
+    for step in range(1, LEAF):
+        ask = ask[left[ask] >= step]
+        if not len(ask):
+            break
+        x = ask[near(ask, ask + step)]
+        if every:
+            yield rows[x, 1], rows[x + step, 1]
+        first[x + step] = x
+    for start, end in zip(starts[ends - starts > LEAF], ends[ends - starts > LEAF]):
+        rest = np.arange(start + 1, end)
+        for x in range(start, end - 1):
+            rest = rest[rest > x]
+            met = near(x, rest)
+            if every:
+                yield np.full(met.sum(), rows[x, 1]), rows[rest[met], 1]
+            else:
+                first[rest[met]] = x
+                rest = rest[~met]
+            if not len(rest):
+                break
+    if not every:
+        y = np.flatnonzero(first >= 0)
+        yield rows[first[y], 1], rows[y, 1]
+
+
+def _block_pairs(apart: int, every: bool):
+    def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b in _earlier(np.concatenate(held), apart, every):
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            # Blocks are compared some thousand rows at a time; the last may go on in the next batch.
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if n + last >= PAIRS and (last or held[-1][-1, 0] != rows[0, 0]):
+                yield from pairs([*held, rows[:last]])
+                held, n, rows = [], 0, rows[last:]
+            held.append(rows)
+            n += len(rows)
+        if held:
+            yield from pairs(held)
+
+    return work
+
+
+def block_links(nodes: DataFrame, words: int, apart: int, every: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of nodes (id, w0, w1 ...) that are equal in a block of 16 bits of any word and differ
+    in at most ``apart`` bits of the first two words; some come more than once.
+
+    Without ``every``, in each block each node comes with the first such one only. A node goes to one shard a block,
+    and shards hold one node in 65,536 of a corpus without near copies.
+    """
+    made = [((F.lit(k).cast("long") * (1 << BLOCK)) + F.call_function("shiftrightunsigned", F.col(f"w{k // 4}"), F.lit(k % 4 * BLOCK)).bitwiseAND(F.lit((1 << BLOCK) - 1))) for k in range(words * 64 // BLOCK)]
+    rows = nodes.select(F.explode(F.array(*made)).alias("block"), "id", *[f"w{i}" for i in range(CHECKED)])
+    sharded = rows.repartition("block").sortWithinPartitions("block", "id")
+    return map_arrow(sharded, _block_pairs(apart, every), "a long, b long")
+
+
 def _sketches(shingle: int, words: int):
     names = ["id", "s1", "s2", *[f"w{i}" for i in range(words)]]
 
@@ -252,9 +349,9 @@ def _sketches(shingle: int, words: int):
             made = np.empty((2 + words, len(batch)), dtype=np.uint64)
             for i, text in enumerate(batch.column(1)):
                 hashes = _hashes(text.as_py() or b"", shingle)
-                whole = np.unique(hashes).tobytes()
-                made[:2, i] = [xxhash.xxh64_intdigest(whole, seed) for seed in (1, 2)]
-                made[2:, i] = [_majority(_mixed(hashes, k)) for k in range(words)]
+                whole = np.unique(hashes)  # as the similarity, so repeats must not outweigh the rest
+                made[:2, i] = [xxhash.xxh64_intdigest(whole.tobytes(), seed) for seed in (1, 2)]
+                made[2:, i] = _majorities(whole, words)
             yield pa.record_batch([batch.column(0), *[pa.array(m.view(np.int64)) for m in made]], names)
 
     return work
@@ -278,13 +375,14 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", alike.alias("alike"))
 
 
-def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 24, apart: int = 18) -> DataFrame:
     """docs without the near copies of others: those of a Jaccard similarity of word shingles of ``similarity`` or
     more to a document that stays.
 
     Documents of the same set of shingles are one, the smallest id. The others' fingerprints have ``words`` words of
-    64 bits; documents within ``radius`` bits in any word and 13 in 64 of all bits are linked, so near by chance is
-    out. In each of two rounds the smallest id of each component stays, and its members are compared with it: the
+    64 bits; documents equal in one of their blocks of 16 bits and within ``apart`` in 64 bits of the first two words
+    are linked. At a similarity of 0.8 a bit differs with a chance of 0.15, so one of 96 blocks is equal for all but
+    one pair in 1,000. In each of two rounds the smallest id of each component stays, and its members are compared with it: the
     alike go, the others go on without it. By then groups of near copies are gone, and all linked pairs of what is
     left are compared; there those go that are alike to an earlier one that stays. So of two alike, linked documents
     one goes, whatever chains lead through their group, and each goes for one that stays.
@@ -301,15 +399,17 @@ def one_each(docs: DataFrame, radius: int = 7, id_col: str = "doc_id", text_col:
     live = firsts.select("first.*").dropDuplicates(["id"])
     sets = None
     for _ in range(2):
-        found = components(links(live, radius, words, 13 * words), "simhash-links")
+        found = components(block_links(live, words, apart * CHECKED, False), "simhash-links")
         if sets is None:
             asked = rows.join(found.select(F.col("node").alias("id")), "id", "left_semi")
             sets = written(map_arrow(asked, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
         met = written(_compared(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), sets, similarity), "simhash-met")
         gone.append(met.where("alike").select(F.col("b").alias("id")))
         live = written(live.join(met.where("not alike").select(F.col("b").alias("id")), "id", "left_semi"), "simhash-live")
-    pairs = links(live, radius, words, 13 * words, forest=False)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(block_links(live, words, apart * CHECKED, True).distinct(), "simhash-left")
+    # A document that is no other's first near one had no link in the first round, so its shingles are still to be made.
+    rest = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets.select("id"), "id", "left_anti")
+    sets = sets.union(written(map_arrow(rows.join(rest, "id", "left_semi"), _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets"))
     edges = written(_compared(pairs, sets, similarity).where("alike").select("a", "b"), "simhash-pairs")
     while not edges.isEmpty():
         stay = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()

@@ -123,6 +123,23 @@ def test_one_each(spark):
     assert len(kept) < 60
 
 
+def test_one_each_at_the_border(spark):
+    """Pairs just above the border, of short and of long texts: nearly every one loses a document."""
+    rnd = random.Random(8)
+    texts, want = [], 0
+    for n in [9] * 40 + [60] * 150 + [400] * 60:
+        base = [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+        other = [*base[: max(1, round((n - 4) * 0.895)) + 4], *[f"x{rnd.randrange(10**7)}" for _ in range(n - 4 - max(1, round((n - 4) * 0.895)))]]
+        a, b = ({" ".join(w[i : i + 5]) for i in range(n - 4)} for w in (base, other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            texts += [" ".join(base), " ".join(other)]
+            want += 1
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_each(d).collect()}
+    both = sum({2 * i, 2 * i + 1} <= kept for i in range(want))
+    assert want > 150 and both <= 0.01 * want and len(kept) == want + both
+
+
 def test_links_of_words(spark):
     rnd = random.Random(4)
     rows = []
