@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from .common import components, documents, written
 #: Edits up to which lines are linked, and characters from which on they are looked at.
 EDITS = 1
 MIN_CHARS = 24
+#: Words from which on lines are linked too if one word is put in, left out or replaced.
+MIN_WORDS = 8
+#: Classes of words, by hash, whose numbers are compared before words are.
+WORD_CLASSES = 16
 #: Characters of which a line's counts are compared before the edit distance is worked out.
 COUNTED = "abcdefghijklmnopqrstuvwxyz ,."
 
@@ -58,9 +64,14 @@ def banded_distance(longer: Column, shorter: Column, most: int) -> Column:
     string moves the band down by one and updates all cells with a few word operations (Hyyrö's form of Myers'
     algorithm). Words are so short that sums cannot overflow. Lengths differ by ``most`` at most and exceed it.
     """
+    # split('') of an empty string is one empty string, not none.
+    return array_distance(*[F.filter(F.split(x, ""), lambda c: c != "") for x in (longer, shorter)], most)
+
+
+def array_distance(longer: Column, shorter: Column, most: int) -> Column:
+    """banded_distance of two arrays."""
     w = 2 * most + 2
     full = (1 << w) - 1
-    a, b = F.split(longer, ""), F.split(shorter, "")
 
     def run(ab: Column) -> Column:
         a, b = ab["a"], ab["b"]
@@ -91,9 +102,7 @@ def banded_distance(longer: Column, shorter: Column, most: int) -> Column:
         start = F.struct(F.lit((full << (w - most - 1)) & full).alias("vp"), F.lit(0).alias("vn"), F.lit(most).alias("dist"))
         return F.when(steps == 0, rows).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0))), start, step)["dist"])
 
-    # split('') of an empty string is one empty string, not none.
-    a, b = (F.filter(x, lambda c: c != "") for x in (a, b))
-    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), run), 1)
+    return F.element_at(F.transform(F.array(F.struct(longer.alias("a"), shorter.alias("b"))), run), 1)
 
 
 def _counts(line: Column) -> Column:
@@ -101,16 +110,37 @@ def _counts(line: Column) -> Column:
     return F.array(*[(F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))).cast("int") for c in COUNTED])
 
 
+def _words(line: Column) -> Column:
+    return F.split(line, " ")
+
+
+def _word_counts(line: Column) -> Column:
+    """How many of the line's words are of each class; one word put in, left out or replaced changes these by two in sum at most."""
+    classes = F.transform(_words(line), lambda x: F.pmod(F.xxhash64(x), F.lit(WORD_CLASSES)))
+    return F.transform(F.array(*[F.lit(i) for i in range(WORD_CLASSES)]), lambda i: F.size(F.filter(classes, lambda c: c == i)))
+
+
+def word_keys(line: Column, n: Column, least: int) -> Column:
+    """As segment_keys for one edit, of a line of n words: of two halves one is unchanged, which is its first or last words."""
+    made = []
+    for length, indexed in ((n, True), (n - 1, False)):
+        half = F.floor(length / 2).cast("int")
+        for part, words in ((-1, half), (-2, half - length)):
+            entry = F.struct(F.xxhash64(length, F.lit(part), F.call_function("substring_index", line, F.lit(" "), words)).alias("key"), F.lit(indexed).alias("indexed"))
+            made.append(entry if indexed else F.when(length >= least, entry))
+    return F.array(*made)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(id, pos, line, n, h1, h2) of the lines of at least ``least`` characters; both hashes together name a line."""
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    each = each.select("id", "pos", "line", F.char_length("line").alias("n")).where(F.col("n") >= least)
+    each = each.select("id", "pos", "line", F.char_length("line").alias("n")).where((F.col("n") >= least) & (F.trim("line") != ""))
     return each.select("id", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
-def _keys(lines: DataFrame, edits: int, least: int) -> DataFrame:
+def _keys(lines: DataFrame, made: Column) -> DataFrame:
     """(h1, h2, key, indexed) of each segment and probe."""
-    keys = lines.select("h1", "h2", F.explode(segment_keys(F.col("line"), F.col("n"), edits, least)).alias("k"))
+    keys = lines.select("h1", "h2", F.explode(made).alias("k"))
     return keys.where("k is not null").select("h1", "h2", "k.key", "k.indexed")
 
 
@@ -126,13 +156,33 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, text
     if least <= 2 * edits:
         raise ValueError("least must be above 2 * edits")
     each = _lines(docs.select(F.lit(0).alias("id"), text_col), "id", text_col, least)
-    keys = _keys(each, edits, least)
+
+    def far(longer: Column, shorter: Column) -> Column:
+        return banded_distance(longer, shorter, edits)
+
+    return _linked(each, segment_keys(F.col("line"), F.col("n"), edits, least), _counts(F.col("line")), far, edits)
+
+
+def word_links(docs: DataFrame, words: int = MIN_WORDS, least: int = MIN_CHARS, text_col: str = "text") -> DataFrame:
+    """As line_links: pairs of lines of at least so many words (parts between spaces) of which one word is put in, left
+    out or replaced, however long it is."""
+    each = _lines(docs.select(F.lit(0).alias("id"), text_col), "id", text_col, least)
+    each = each.withColumn("n", F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= words)
+
+    def far(longer: Column, shorter: Column) -> Column:
+        return array_distance(_words(longer), _words(shorter), 1)
+
+    return _linked(each, word_keys(F.col("line"), F.col("n"), words), _word_counts(F.col("line")), far, 1)
+
+
+def _linked(each: DataFrame, made: Column, counts: Column, far: Callable[[Column, Column], Column], edits: int) -> DataFrame:
+    keys = _keys(each, made)
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("indexed").alias("any")).where("low < high and any").select("key")
     live = written(keys.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "line-keys")
     # Merged at any size: the lines are the whole corpus, and live grows with it, so one plan should hold throughout.
     line = each.select("h1", "h2", "line", "n").join(live.hint("merge"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
-    line = written(line.withColumn("counts", _counts(F.col("line"))), "lines")
-    full = _keys(line, edits, least).join(line.select("h1", "h2", "n", "counts"), ["h1", "h2"])
+    line = written(line.withColumn("counts", counts), "lines")
+    full = _keys(line, made).join(line.select("h1", "h2", "n", "counts"), ["h1", "h2"])
     r = full.where("indexed").select("key", *[F.col(c).alias(f"r_{c}") for c in ("h1", "h2", "n", "counts")])
     s = full.select("key", "indexed", *[F.col(c).alias(f"s_{c}") for c in ("h1", "h2", "n", "counts")])
     once = ~F.col("indexed") | (F.struct("r_h1", "r_h2") < F.struct("s_h1", "s_h2"))
@@ -145,23 +195,24 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, text
     b = line.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b_line"), F.col("n").alias("b_n"))
     both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     swap = F.col("a_n") < F.col("b_n")
-    far = banded_distance(F.when(swap, F.col("b_line")).otherwise(F.col("a_line")), F.when(swap, F.col("a_line")).otherwise(F.col("b_line")), edits)
-    return both.withColumn("distance", far).where(F.col("distance") <= edits).select("a1", "a2", "b1", "b2", "distance")
+    distance = far(F.when(swap, F.col("b_line")).otherwise(F.col("a_line")), F.when(swap, F.col("a_line")).otherwise(F.col("b_line")))
+    return both.withColumn("distance", distance).where(F.col("distance") <= edits).select("a1", "a2", "b1", "b2", "distance")
 
 
 def _name(h1: str, h2: str) -> Column:
     return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1) -> DataFrame:
     """(h1, h2, first_id, first_pos, links): of each line that has a copy or a link, its class's first occurrence.
 
     A class is what links of lines connect, equal lines being one; links counts a line's links to different lines.
     """
-    found = written(line_links(docs, edits, least, text_col), "line-links")
+    pair = ["a1", "a2", "b1", "b2"]
+    found = written(line_links(docs, edits, least, text_col).select(pair).union(word_links(docs, MIN_WORDS, least, text_col).select(pair)).distinct(), "line-links")
     joined = components(found.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "line-classes")
     degree = found.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(found.select("b1", "b2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links"))
-    seen = _lines(docs, id_col, text_col, least).groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    seen = _lines(docs, id_col, text_col, min(exact, least)).groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     seen = seen.join(degree, ["h1", "h2"], "left").where("n > 1 or links is not null").withColumn("name", _name("h1", "h2"))
     linked = seen.where("links is not null").join(joined.withColumnRenamed("node", "name"), "name")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
@@ -170,10 +221,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id
     return linked.union(alone).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), "links")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1) -> DataFrame:
     """(id, removed, links) of each document that has any: positions of lines that repeat an earlier one, and links."""
-    classes = written(line_classes(docs, edits, least, id_col, text_col), "line-firsts")
-    seen = _lines(docs, id_col, text_col, least).select("id", "pos", "h1", "h2")
+    classes = written(line_classes(docs, edits, least, id_col, text_col, exact), "line-firsts")
+    seen = _lines(docs, id_col, text_col, min(exact, least)).select("id", "pos", "h1", "h2")
     met = seen.join(classes, ["h1", "h2"])
     again = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
     return met.groupBy("id").agg(F.sort_array(F.collect_set(F.when(again, F.col("pos")))).alias("removed"), F.sum("links").alias("links"))
@@ -183,9 +234,10 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_
     """Per row of docs: id, n_lines, n_removed, removed (line numbers from 0), links.
 
     Lines end at U+000A. Lines of at least ``least`` characters are compared; two are linked if at most ``edits``
-    insertions, deletions or substitutions of characters apart. Of each class of linked or equal lines the first (by
+    insertions, deletions or substitutions of characters apart, or if both have MIN_WORDS words or more and one word is
+    put in, left out or replaced. Of each class of linked or equal lines the first (by
     id, then place) stays and the others are removed. links counts, over the document's lines, links to different
-    lines. Shorter lines are left alone. Null text: no lines; empty text: one empty line. Null ids come first in
+    lines. Shorter lines that are not blank are told apart exactly. Null text: no lines; empty text: one empty line. Null ids come first in
     order. Rows that share an id are one document in the order, so an exact repetition of a row loses nothing more.
     """
     found = repeated_lines(docs, edits, least, id_col, text_col)
@@ -196,9 +248,12 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_
     return met.select(F.col("doc").alias(id_col), n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated lines of line_report taken out of the text; documents of which nothing is left go."""
-    found = repeated_lines(docs, edits, least, id_col, text_col).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = MIN_CHARS) -> DataFrame:
+    """docs with the repeated lines of line_report taken out of the text; documents of which nothing is left go.
+
+    Lines of fewer than ``exact`` characters are left alone, in line_report only blank ones.
+    """
+    found = repeated_lines(docs, edits, least, id_col, text_col, exact).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
     met = docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)

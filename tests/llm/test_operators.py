@@ -188,6 +188,29 @@ def test_line_links(spark, edits):
     assert got == {frozenset((a, b)) for a in long for b in long if a < b and distance(a, b) <= edits}
 
 
+def test_changed_words_and_short_lines(spark):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(24):
+        base = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(7, 14))]
+        for _ in range(6):
+            t = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                i = rnd.randrange(len(t))
+                t[i : i + 1] = rnd.choice([[], ["another"], [t[i], "more"]])
+            texts.append(" ".join(t))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {(r.h1, r.h2): r.text for r in d.select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).collect()}
+    got = {frozenset((names[r.a1, r.a2], names[r.b1, r.b2])) for r in lines.word_links(d).collect()}
+    long = sorted({t for t in texts if len(t) >= 24 and len(t.split(" ")) >= 8})
+    want = {frozenset((a, b)) for a in long for b in long if a < b and distance(a.split(" "), b.split(" ")) <= 1}
+    assert got == want and len(want) > 20
+    line = "the committee met in the large hall to discuss the matter"
+    d = spark.createDataFrame([(1, f"Go.\n\n{line}"), (2, f"Go.\n\n{line.replace('large', 'smaller')}\nno")], "doc_id long, text string")
+    got = {r.doc_id: (r.removed, r.links) for r in lines.line_report(d).collect()}
+    assert got == {1: ([], 1), 2: ([0, 2], 1)}
+
+
 def test_op4(spark, documents):
     got = entries.queries()["op4_syncmers"](spark, DATA).toPandas().sort_values("doc_id")
     texts = [t or "" for t in documents.text]
