@@ -122,13 +122,23 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return map_arrow(rows, _scorer(spark.sparkContext.broadcast(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def bounded(rows: DataFrame, most: int, id_col: str, seed: str) -> DataFrame:
-    """About ``most`` rows by a keyed hash of the id, all if there are fewer; the same rows at each run."""
-    n = rows.count()
+def bounded(rows: DataFrame, most: int, id_col: str, seed: str, by: str | None = None, least: int = 1_000) -> DataFrame:
+    """About ``most`` rows by a keyed hash of the id, all if there are fewer; the same rows at each run.
+
+    With ``by``, of each of its values about ``least`` rows at least, or all; a count a value reaches the driver.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(by) if by else F.lit(0)).count().collect()}
+    n = sum(counts.values())
     if n <= most:
         return rows
+    rate = F.lit(most / n)
+    if by:
+        # One map, as a chain of conditions would be as deep as there are values; no value is the key of null.
+        rates = [F.lit(x) for value, k in counts.items() if value is not None for x in (value, max(most / n, least / k))]
+        missing = F.lit(max(most / n, least / counts[None]) if None in counts else 0.0)
+        rate = F.coalesce(F.element_at(F.create_map(*rates), F.col(by)), missing) if rates else missing
     share = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2**32
-    return rows.where(share < most / n)
+    return rows.where(share < rate)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -233,6 +233,20 @@ def test_op6(spark):
     assert got[got.quality == 0].keep.mean() < 0.05 and got[(got.quality == 1) & (got.toxic == 0)].keep.mean() > 0.9
 
 
+@pytest.mark.parametrize("cut", [False, True])
+def test_op6_of_each_language(spark, cut):
+    """Documents without a label stay in every language, one of 30 documents and few targets too."""
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
+    if cut:
+        d = d.drop(d[d.lang == "de"].index[30:])
+    scored, _ = quality.resample(spark.createDataFrame(d[["doc_id", "text", "lang"]]), spark.createDataFrame(labels))
+    got = scored.toPandas().merge(d[["doc_id", "lang"]], on="doc_id")
+    free = got[~got.doc_id.isin(labels.doc_id) & (got.n_features > 0)]
+    assert (free.groupby("lang").keep.mean() > 0.7).all()
+    assert got[got.doc_id.isin(labels[labels.quality == 0].doc_id)].keep.mean() < 0.05
+
+
 def test_kth_largest(spark):
     keys = [1.5, 2.0, 2.0, -3.0, 8.0, 0.1]
     d = spark.createDataFrame([(k,) for k in [*keys, None]], "sort_key double")
