@@ -132,10 +132,13 @@ def word_keys(line: Column, n: Column, least: int) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, pos, line, n, h1, h2) of the lines of at least ``least`` characters; both hashes together name a line."""
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    each = each.select("id", "pos", "line", F.char_length("line").alias("n")).where((F.col("n") >= least) & (F.trim("line") != ""))
-    return each.select("id", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
+    """(id, whole, pos, line, n, h1, h2) of the lines of at least ``least`` characters that are not blank.
+
+    The hashes h1 and h2 together name a line, id and the hash of the whole text a document.
+    """
+    each = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("whole"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    each = each.select("id", "whole", "pos", "line", F.char_length("line").alias("n")).where((F.col("n") >= least) & (F.trim("line") != ""))
+    return each.select("id", "whole", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
 def _keys(lines: DataFrame, made: Column) -> DataFrame:
@@ -204,7 +207,7 @@ def _name(h1: str, h2: str) -> Column:
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1) -> DataFrame:
-    """(h1, h2, first_id, first_pos, links): of each line that has a copy or a link, its class's first occurrence.
+    """(h1, h2, first_id, first_whole, first_pos, links): of each line that has a copy or a link, its class's first occurrence.
 
     A class is what links of lines connect, equal lines being one; links counts a line's links to different lines.
     """
@@ -212,22 +215,22 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id
     found = written(line_links(docs, edits, least, text_col).select(pair).union(word_links(docs, MIN_WORDS, least, text_col).select(pair)).distinct(), "line-links")
     joined = components(found.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "line-classes")
     degree = found.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(found.select("b1", "b2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links"))
-    seen = _lines(docs, id_col, text_col, min(exact, least)).groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    seen = _lines(docs, id_col, text_col, min(exact, least)).groupBy("h1", "h2").agg(F.min(F.struct("id", "whole", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     seen = seen.join(degree, ["h1", "h2"], "left").where("n > 1 or links is not null").withColumn("name", _name("h1", "h2"))
     linked = seen.where("links is not null").join(joined.withColumnRenamed("node", "name"), "name")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     linked = linked.join(heads, "component").select("h1", "h2", F.col("head").alias("first"), "links")
     alone = seen.where("links is null").select("h1", "h2", "first", F.lit(0).cast("long").alias("links"))
-    return linked.union(alone).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"), "links")
+    return linked.union(alone).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.whole").alias("first_whole"), F.col("first.pos").alias("first_pos"), "links")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1) -> DataFrame:
-    """(id, removed, links) of each document that has any: positions of lines that repeat an earlier one, and links."""
+    """(id, whole, removed, links) of each document that has any: positions of lines that repeat an earlier one, and links."""
     classes = written(line_classes(docs, edits, least, id_col, text_col, exact), "line-firsts")
-    seen = _lines(docs, id_col, text_col, min(exact, least)).select("id", "pos", "h1", "h2")
+    seen = _lines(docs, id_col, text_col, min(exact, least)).select("id", "whole", "pos", "h1", "h2")
     met = seen.join(classes, ["h1", "h2"])
-    again = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
-    return met.groupBy("id").agg(F.sort_array(F.collect_set(F.when(again, F.col("pos")))).alias("removed"), F.sum("links").alias("links"))
+    again = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("whole") == F.col("first_whole")) & (F.col("pos") == F.col("first_pos")))
+    return met.groupBy("id", "whole").agg(F.sort_array(F.collect_set(F.when(again, F.col("pos")))).alias("removed"), F.sum("links").alias("links"))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,12 +241,13 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_
     put in, left out or replaced. Of each class of linked or equal lines the first (by
     id, then place) stays and the others are removed. links counts, over the document's lines, links to different
     lines. Shorter lines that are not blank are told apart exactly. Null text: no lines; empty text: one empty line. Null ids come first in
-    order. Rows that share an id are one document in the order, so an exact repetition of a row loses nothing more.
+    order. Rows of equal id and text are one document in the order, so an exact repetition of a row loses nothing more;
+    rows that share an id, or have none, but differ in text are documents of their own.
     """
     found = repeated_lines(docs, edits, least, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).alias("n"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).alias("n"))
     n_lines = F.greatest(F.col("n"), F.lit(0)).cast("long")
-    met = rows.join(found, rows["doc"].eqNullSafe(found["id"]), "left")
+    met = rows.join(found, rows["doc"].eqNullSafe(found["id"]) & (rows["text_hash"] == found["whole"]), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return met.select(F.col("doc").alias(id_col), n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
@@ -253,8 +257,8 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN
 
     Lines of fewer than ``exact`` characters are left alone, in line_report only blank ones.
     """
-    found = repeated_lines(docs, edits, least, id_col, text_col, exact).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
-    met = docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left")
+    found = repeated_lines(docs, edits, least, id_col, text_col, exact).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("whole").alias("__whole"), F.col("removed").alias("__removed"))
+    met = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__whole"]), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)
     out = met.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col("__removed").isNotNull().alias("__cut"))

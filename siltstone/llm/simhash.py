@@ -261,52 +261,61 @@ BLOCK = 16
 CHECKED = 2
 
 
+#: Rows of a block up to which all near pairs go on, as they are few.
+SMALL = 16
+
+
 def _earlier(rows: np.ndarray, apart: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs (earlier id, later id) within whole blocks of rows (block, id, words) sorted by block and id.
 
-    Without ``every``, each row comes with the first near one before it only.
+    Without ``every``, of a block of more than SMALL rows only a spanning forest of them.
     """
     bits = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
     cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
     starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
     left = np.repeat(ends, ends - starts) - np.arange(len(rows)) - 1
-    large = np.repeat(ends - starts > LEAF, ends - starts)
-    first = np.full(len(rows), -1)
+    large = ends - starts > SMALL
 
     def near(x, y):
         return np.bitwise_count(bits[x] ^ bits[y]).sum(axis=-1, dtype=np.int64) <= apart
 
-    ask = np.flatnonzero((left > 0) & ~large)
-    for step in range(1, LEAF):
+    ask = np.flatnonzero((left > 0) & ~np.repeat(large, ends - starts))
+    for step in range(1, SMALL):
         ask = ask[left[ask] >= step]
         if not len(ask):
             break
         x = ask[near(ask, ask + step)]
+        yield rows[x, 1], rows[x + step, 1]
+    for start, end in zip(starts[large], ends[large]):
+        rest = np.arange(start, end)
         if every:
-            yield rows[x, 1], rows[x + step, 1]
-        first[x + step] = x
-    for start, end in zip(starts[ends - starts > LEAF], ends[ends - starts > LEAF]):
-        rest = np.arange(start + 1, end)
-        for x in range(start, end - 1):
-            rest = rest[rest > x]
-            met = near(x, rest)
-            if every:
-                yield np.full(met.sum(), rows[x, 1]), rows[rest[met], 1]
-            else:
-                first[rest[met]] = x
-                rest = rest[~met]
-            if not len(rest):
-                break
-    if not every:
-        y = np.flatnonzero(first >= 0)
-        yield rows[first[y], 1], rows[y, 1]
+            for x in rest[:-1]:
+                y = np.arange(x + 1, end)
+                y = y[near(x, y)]
+                yield np.full(len(y), rows[x, 1]), rows[y, 1]
+            continue
+        # Each row that a tree has got asks those that no tree has.
+        while len(rest) > 1:
+            turn, rest = [rest[0]], rest[1:]
+            while turn and len(rest):
+                x = turn.pop()
+                met = near(x, rest)
+                y, rest = rest[met], rest[~met]
+                turn += y.tolist()
+                yield np.minimum(rows[x, 1], rows[y, 1]), np.maximum(rows[x, 1], rows[y, 1])
 
 
 def _block_pairs(apart: int, every: bool):
     def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for a, b in _earlier(np.concatenate(held), apart, every):
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        out, n = [], 0
+        for pair in _earlier(np.concatenate(held), apart, every):
+            out.append(pair)
+            n += len(pair[0])
+            if n >= PAIRS:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b"])
+                out, n = [], 0
+        if n:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -332,7 +341,7 @@ def block_links(nodes: DataFrame, words: int, apart: int, every: bool) -> DataFr
     """Pairs (a, b), a < b, of ids of nodes (id, w0, w1 ...) that are equal in a block of 16 bits of any word and differ
     in at most ``apart`` bits of the first two words; some come more than once.
 
-    Without ``every``, in each block each node comes with the first such one only. A node goes to one shard a block,
+    Without ``every``, their components are those of all pairs, but of large shards only a forest goes on. A node goes to one shard a block,
     and shards hold one node in 65,536 of a corpus without near copies.
     """
     made = [((F.lit(k).cast("long") * (1 << BLOCK)) + F.call_function("shiftrightunsigned", F.col(f"w{k // 4}"), F.lit(k % 4 * BLOCK)).bitwiseAND(F.lit((1 << BLOCK) - 1))) for k in range(words * 64 // BLOCK)]
@@ -342,17 +351,17 @@ def block_links(nodes: DataFrame, words: int, apart: int, every: bool) -> DataFr
 
 
 def _sketches(shingle: int, words: int):
-    names = ["id", "s1", "s2", *[f"w{i}" for i in range(words)]]
+    names = ["key", "whole", "s1", "s2", *[f"w{i}" for i in range(words)]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.empty((2 + words, len(batch)), dtype=np.uint64)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 hashes = _hashes(text.as_py() or b"", shingle)
                 whole = np.unique(hashes)  # as the similarity, so repeats must not outweigh the rest
                 made[:2, i] = [xxhash.xxh64_intdigest(whole.tobytes(), seed) for seed in (1, 2)]
                 made[2:, i] = _majorities(whole, words)
-            yield pa.record_batch([batch.column(0), *[pa.array(m.view(np.int64)) for m in made]], names)
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(m.view(np.int64)) for m in made]], names)
 
     return work
 
@@ -387,37 +396,48 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     left are compared; there those go that are alike to an earlier one that stays. So of two alike, linked documents
     one goes, whatever chains lead through their group, and each goes for one that stays.
 
-    Texts without words have no shingles and count as alike. Null ids come first in order and are one document. Rows
-    that share an id go together, or one of them stays. No rows: no rows. Other columns are kept as they are.
+    Texts without words have no shingles and count as alike. Rows are told apart by id and text, so those that share
+    an id, or have none, are compared like others; null ids come first among exact copies, and of near copies those
+    rows are in the order of a hash. Of rows equal in both one stays. No rows: no rows. Other columns are kept.
     """
-    node = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(node.alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
+    lowest = F.lit(-(1 << 63))
+    key = F.coalesce(F.col(id_col).cast("long"), lowest)
+    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(key.alias("key"), F.xxhash64(data).alias("whole"), data.alias("data"))
     names = [f"w{i}" for i in range(words)]
-    prints = written(map_arrow(rows, _sketches(shingle, words), "id long, s1 long, s2 long, " + ", ".join(f"{n} long" for n in names)), "simhash-sketches")
-    firsts = written(prints.groupBy("s1", "s2").agg(F.min(F.struct("id", *names)).alias("first")), "simhash-firsts")
-    gone = [prints.join(firsts, ["s1", "s2"]).where(F.col("id") != F.col("first.id")).select("id")]
-    live = firsts.select("first.*").dropDuplicates(["id"])
+    prints = written(map_arrow(rows, _sketches(shingle, words), "key long, whole long, s1 long, s2 long, " + ", ".join(f"{n} long" for n in names)), "simhash-sketches")
+    firsts = prints.groupBy("s1", "s2").agg(F.min(F.struct("key", "whole", *names)).alias("first")).select("s1", "s2", "first.*")
+    # The node of a document is its id; where that is null or shared, the hash of its shingles.
+    shared = prints.select("key", "whole").distinct().groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("shared"))
+    own = F.col("shared").isNull() & (F.col("key") != lowest)
+    firsts = written(firsts.join(shared, "key", "left").withColumn("id", F.when(own, F.col("key")).otherwise(F.col("s1"))).drop("shared"), "simhash-firsts")
+    copies = prints.join(firsts.select("s1", "s2", F.col("key").alias("first_key"), F.col("whole").alias("first_whole")), ["s1", "s2"])
+    copies = copies.where((F.col("key") != F.col("first_key")) | (F.col("whole") != F.col("first_whole"))).select("key", "whole")
+    gone = []
+    live = firsts.select("id", *names)
+    place = firsts.select("id", "key", "whole")
+
     sets = None
     for _ in range(2):
         found = components(block_links(live, words, apart * CHECKED, False), "simhash-links")
         if sets is None:
-            asked = rows.join(found.select(F.col("node").alias("id")), "id", "left_semi")
+            asked = rows.join(place.join(found.select(F.col("node").alias("id")), "id", "left_semi"), ["key", "whole"]).select("id", "data")
             sets = written(map_arrow(asked, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
         met = written(_compared(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), sets, similarity), "simhash-met")
         gone.append(met.where("alike").select(F.col("b").alias("id")))
         live = written(live.join(met.where("not alike").select(F.col("b").alias("id")), "id", "left_semi"), "simhash-live")
     pairs = written(block_links(live, words, apart * CHECKED, True).distinct(), "simhash-left")
-    # A document that is no other's first near one had no link in the first round, so its shingles are still to be made.
-    rest = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets.select("id"), "id", "left_anti")
-    sets = sets.union(written(map_arrow(rows.join(rest, "id", "left_semi"), _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets"))
     edges = written(_compared(pairs, sets, similarity).where("alike").select("a", "b"), "simhash-pairs")
     while not edges.isEmpty():
         stay = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()
         out = written(edges.join(stay, "a").select(F.col("b").alias("id")).distinct(), "simhash-out")
         gone.append(out)
         edges = written(edges.join(out, edges["a"] == out["id"], "left_anti").join(out, edges["b"] == out["id"], "left_anti"), "simhash-pairs")
-    lost = functools.reduce(DataFrame.union, gone).distinct().withColumnRenamed("id", "__gone")
-    return docs.join(lost, node == F.col("__gone"), "left_anti").dropDuplicates([id_col])
+    near = place.join(functools.reduce(DataFrame.union, gone).distinct(), "id", "left_semi").select("key", "whole")
+    lost = copies.union(near).distinct().toDF("__key", "__gone")
+    known = docs.withColumns({"__id": key, "__whole": F.xxhash64(data)})
+    left = known.join(lost, (F.col("__id") == F.col("__key")) & (F.col("__whole") == F.col("__gone")), "left_anti")
+    return left.dropDuplicates(["__id", "__whole"]).drop("__id", "__whole")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,40 @@ def test_one_each_at_the_border(spark):
     assert want > 150 and both <= 0.01 * want and len(kept) == want + both
 
 
+@pytest.mark.parametrize("n", [10, 120])
+def test_block_links(n):
+    """Forests of large blocks have the components of all near pairs."""
+    rnd = np.random.default_rng(n)
+    base = rnd.integers(0, 1 << 63, (4, 2))
+    rows = np.concatenate([np.stack([np.full(n, k), np.arange(n), *[base[rnd.integers(0, 4, n), w] ^ (1 << rnd.integers(0, 63, n)) ^ (1 << rnd.integers(0, 63, n)) for w in (0, 1)]], axis=1) for k in (3, 5)])
+    bits = lambda i, j: sum(int(x).bit_count() for x in rows[i, 2:] ^ rows[j, 2:])
+    for k in (0, n):
+        some = rows[k : k + n]
+        near = {(i, j) for i in range(n) for j in range(i + 1, n) if bits(k + i, k + j) <= 7}
+        for every in (True, False):
+            got = {(int(a), int(b)) for x, y in simhash._earlier(some, 7, every) for a, b in zip(x, y)}
+            assert got <= near and (got == near or not every)
+            group = list(range(n))
+            for i, j in list(got) * 4:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+            assert all(group[i] == group[j] for i, j in near)
+
+
+def test_rows_without_an_own_id(spark):
+    """Rows of a null or shared id are documents of their own if they differ in text."""
+    rnd = random.Random(9)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(40))
+    a, b, c, e, f = (text() for _ in range(5))
+    d = spark.createDataFrame([(None, a), (None, b), (None, b), (None, a + " more"), (7, c), (7, e), (7, c), (8, e), (9, f)], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.one_each(d).collect())
+    assert [k for k in kept if k[1] not in (a, a + " more")] == sorted([(0, b), (7, c), (7, e), (9, f)]) and len(kept) == 5
+    d = spark.createDataFrame([(None, f"{a}\n{b}"), (None, f"{c}\n{b}"), (None, f"{e}\n{f}"), (5, f"{f} x\n{text()}"), (5, f"{text()}\n{text()}")], "doc_id long, text string")
+    got = [(r.doc_id, len(r.removed)) for r in lines.line_report(d).collect()]
+    assert sum(n for i, n in got if i is None) == 1 and sorted(n for i, n in got if i == 5) == [0, 1]
+    assert sum(len(r.text.split("\n")) for r in lines.without_repeated_lines(d).collect()) == 8
+
+
 def test_links_of_words(spark):
     rnd = random.Random(4)
     rows = []
