@@ -146,8 +146,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op7_language(spark: SparkSession, sf_dir: str, fit_docs: int = 20_000) -> DataFrame:
-    """fit_docs bounds the labelled documents that the model is fitted on; every document is predicted."""
+    """fit_docs bounds the labelled documents that the model is fitted on, beside 1,000 a language; every document is predicted."""
     docs = documents(spark, sf_dir)
-    train = bounded(docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), fit_docs, "doc_id", "lang")
+    train = bounded(docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), fit_docs, "doc_id", "lang", "lang")
     found = identify(docs, fit(train))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -293,6 +293,12 @@ def test_op7(spark, documents):
     assert (held.lang_pred == held.lang).mean() > 0.98 and got.score.between(0, 1).all()
 
 
+def test_bounded_keeps_each_value(spark):
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 19_990, "en").when(F.col("id") < 19_996, "is").alias("lang"))
+    got = {r[0]: r[1] for r in language.bounded(d, 100, "doc_id", "lang", "lang", 50).groupBy("lang").count().collect()}
+    assert 50 < got["en"] < 160 and got["is"] == 6 and got[None] == 4
+
+
 def test_op8(spark):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
