@@ -206,13 +206,16 @@ def _name(h1: str, h2: str) -> Column:
     return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1, words: int | None = MIN_WORDS) -> DataFrame:
     """(h1, h2, first_id, first_whole, first_pos, links): of each line that has a copy or a link, its class's first occurrence.
 
     A class is what links of lines connect, equal lines being one; links counts a line's links to different lines.
     """
     pair = ["a1", "a2", "b1", "b2"]
-    found = written(line_links(docs, edits, least, text_col).select(pair).union(word_links(docs, MIN_WORDS, least, text_col).select(pair)).distinct(), "line-links")
+    found = line_links(docs, edits, least, text_col).select(pair)
+    if words:
+        found = found.union(word_links(docs, words, least, text_col).select(pair)).distinct()
+    found = written(found, "line-links")
     joined = components(found.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "line-classes")
     degree = found.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(found.select("b1", "b2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links"))
     seen = _lines(docs, id_col, text_col, min(exact, least)).groupBy("h1", "h2").agg(F.min(F.struct("id", "whole", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -224,9 +227,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id
     return linked.union(alone).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.whole").alias("first_whole"), F.col("first.pos").alias("first_pos"), "links")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1, words: int | None = MIN_WORDS) -> DataFrame:
     """(id, whole, removed, links) of each document that has any: positions of lines that repeat an earlier one, and links."""
-    classes = written(line_classes(docs, edits, least, id_col, text_col, exact), "line-firsts")
+    classes = written(line_classes(docs, edits, least, id_col, text_col, exact, words), "line-firsts")
     seen = _lines(docs, id_col, text_col, min(exact, least)).select("id", "whole", "pos", "h1", "h2")
     met = seen.join(classes, ["h1", "h2"])
     again = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("whole") == F.col("first_whole")) & (F.col("pos") == F.col("first_pos")))
@@ -252,12 +255,13 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_
     return met.select(F.col("doc").alias(id_col), n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = MIN_CHARS, words: int | None = None) -> DataFrame:
     """docs with the repeated lines of line_report taken out of the text; documents of which nothing is left go.
 
-    Lines of fewer than ``exact`` characters are left alone, in line_report only blank ones.
+    Lines of fewer than ``exact`` characters are left alone, in line_report only blank ones. Lines of which a word is
+    changed are linked if ``words`` tells from how many words on.
     """
-    found = repeated_lines(docs, edits, least, id_col, text_col, exact).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("whole").alias("__whole"), F.col("removed").alias("__removed"))
+    found = repeated_lines(docs, edits, least, id_col, text_col, exact, words).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("whole").alias("__whole"), F.col("removed").alias("__removed"))
     met = docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__whole"]), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__removed", i)), "\n")
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept)
