@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,6 +203,181 @@ def _linked(each: DataFrame, made: Column, counts: Column, far: Callable[[Column
     return both.withColumn("distance", distance).where(F.col("distance") <= edits).select("a1", "a2", "b1", "b2", "distance")
 
 
+#: Lines that share a key up to which they are compared pair by pair; beyond, the key is drawn finer.
+HEAVY = 32
+CHARS, WORDS = 0, 1
+
+
+def _prefix(kind: int, line: Column, n: Column, k: Column) -> Column:
+    return F.substring(line, F.lit(1), k) if kind == CHARS else F.call_function("substring_index", line, F.lit(" "), k)
+
+
+def _suffix(kind: int, line: Column, n: Column, k: Column) -> Column:
+    return F.substring(line, n - k + 1, k) if kind == CHARS else F.call_function("substring_index", line, F.lit(" "), -k)
+
+
+def _tokens(kind: int, line: Column) -> Column:
+    return F.filter(F.split(line, ""), lambda c: c != "") if kind == CHARS else _words(line)
+
+
+def _open(kind: int, line: Column, n: Column, length: Column, low: Column, high: Column) -> Column:
+    """The key of a line of n tokens as one of, or one token longer than, lines of ``length`` tokens that are equal but
+    for the tokens from low to high (exclusive): what stands before and what stands behind these."""
+    return F.xxhash64(F.lit(kind), length, low, high, _prefix(kind, line, n, low), _suffix(kind, line, n, length - high))
+
+
+def _halves(ranges: list[tuple[Column, Column]]) -> list[tuple[Column, Column]]:
+    """Each range of tokens that may hold the edit, cut into two."""
+    out = []
+    for low, high in ranges:
+        middle = (low + F.floor((high - low) / 2)).cast("int")
+        out += [(middle, high), (low, middle)]
+    return out
+
+
+def _range_keys(kind: int, line: Column, n: Column, least: int, cuts: int) -> Column:
+    """array<struct<kind, length, low, high, key>> of a line of n tokens after so many cuts, for its own length and the one below."""
+    made = []
+    for shorter in (0, 1):
+        length = n - shorter
+        ranges = [(F.lit(0), length)]
+        for _ in range(cuts):
+            ranges = _halves(ranges)
+        for low, high in ranges:
+            entry = F.struct(F.lit(kind).alias("kind"), length.alias("length"), low.alias("low"), high.alias("high"), _open(kind, line, n, length, low, high).alias("key"))
+            made.append(F.when(length >= least, entry) if shorter else entry)
+    return F.array(*made)
+
+
+def _half_keys(kind: int, line: Column, n: Column) -> Column:
+    """array<long>: the keys of a line of n tokens by its beginning and by its end, for its own length and the one below."""
+    made = []
+    for length in (n, n - 1):
+        half = F.floor(length / 2).cast("int")
+        made.append(F.xxhash64(F.lit(2 * kind), length, _prefix(kind, line, n, half)))
+        made.append(F.xxhash64(F.lit(2 * kind + 1), length, _suffix(kind, line, n, length - half)))
+    return F.array(*made)
+
+
+def _opened(lines: DataFrame, least: int, words: int | None, cuts: int) -> DataFrame:
+    """(h1, h2, kind, length, low, high, key, tokens) of lines (h1, h2, line, n, w): by characters the lines of up to
+    ``words`` words, or all, and by words those of as many or more."""
+    line, n, w = F.col("line"), F.col("n"), F.col("w")
+    none = F.array().cast("array<struct<kind:int,length:int,low:int,high:int,key:bigint>>")
+    made = _range_keys(CHARS, line, n, least, cuts)
+    if words:
+        made = F.concat(F.when(w <= words, made).otherwise(none), F.when(w >= words, _range_keys(WORDS, line, w, words, cuts)).otherwise(none))
+    keys = lines.select("h1", "h2", n.alias("chars"), w.alias("words"), F.explode(made).alias("k")).where("k is not null").select("h1", "h2", "chars", "words", "k.*")
+    return keys.select("h1", "h2", "kind", "length", "low", "high", "key", F.when(F.col("kind") == CHARS, F.col("chars")).otherwise(F.col("words")).alias("tokens"))
+
+
+def _at(line: DataFrame, side: str) -> DataFrame:
+    return line.select(F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"), F.col("line").alias(f"{side}_line"), F.col("n").alias(f"{side}_n"), F.col("w").alias(f"{side}_w"))
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """(a1, a2, b1, b2) of two lines, the smaller pair of hashes first."""
+    one_way = F.struct(f"{x}1", f"{x}2") < F.struct(f"{y}1", f"{y}2")
+    return pairs.select(*[F.when(one_way, F.col(f"{p}{i}")).otherwise(F.col(f"{q}{i}")).alias(f"{n}{i}") for n, p, q in (("a", x, y), ("b", y, x)) for i in (1, 2)])
+
+
+def near_lines(each: DataFrame, least: int, words: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of lines one edit apart: of a character, or with ``words`` also of a word if both lines have so many words.
+
+    each: h1, h2, line, n (characters). Returns (pairs a1, a2, b1, b2; edges a1, a2, b1, b2; counts h1, h2, links). Pairs
+    are links, each once. Edges join each line to the first of a group in which all are linked, and counts has the
+    number of its links there, so groups of any size stay linear. No link is in both.
+
+    A line is cut into threshold-plus-one segments, here halves: of two lines one edit apart, one half of the shorter
+    stands unchanged at the other's beginning or end. Keys are made of the text before and behind the open half and
+    of the length probed, so lines of equal or next length meet. Keys of one line alone go first: an aggregation, which
+    gathers copies before it shuffles, and a join with the keys left; neither moves text. The lines left are fetched
+    once, and their open halves are halved again. Lines that share such a key are compared if they are up to HEAVY, and the
+    bit-parallel distance of what is open decides. Larger groups have their open range halved until they are small, or the
+    range is one token: then all of the key's length differ in that token and are linked, and a line one token longer is
+    linked to those whose token it holds. Where ``words`` is given, an edit of a character in lines of so many words or more changes one word of
+    the one that has fewer, so it is found by words as well; those of just as many words go both ways.
+    """
+    each = each.withColumn("w", F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    halves = _half_keys(CHARS, F.col("line"), F.col("n"))
+    if words:
+        by_words = _half_keys(WORDS, F.col("line"), F.col("w"))
+        halves = F.when(F.col("w") < words, halves).when(F.col("w") > words, by_words).otherwise(F.concat(halves, by_words))
+    # Plain numbers here: structs in the arrays of all lines would take twice the time.
+    keys = each.select("h1", "h2", F.explode(halves).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
+    live = written(keys.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "line-keys")
+    # Merged at any size: the lines are the whole corpus, and live grows with it, so one plan should hold throughout.
+    line = each.select("h1", "h2", "line", "n", "w").join(live.hint("merge"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("line", "n", "w")])
+    line = written(line, "lines")
+    rows = _opened(line, least, words, 2)
+    near, cliques = [], []
+    place = ["kind", "length", "low", "high"]
+    while True:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("tokens") == F.col("length")).alias("any")).where("size > 1 and any").select("key", "size")
+        rows = written(rows.join(sizes, "key"), "line-ranges")
+        few = rows.where((F.col("size") <= HEAVY) & (F.col("high") > F.col("low") + 1))
+        r = few.where("tokens = length").select("key", *place, F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+        s = few.select("key", (F.col("tokens") == F.col("length")).alias("own"), F.col("tokens").alias("s_tokens"), F.col("h1").alias("s1"), F.col("h2").alias("s2"))
+        near.append(r.join(s, "key").where(~F.col("own") | (F.struct("r1", "r2") < F.struct("s1", "s2"))).select("r1", "r2", "s1", "s2", F.struct(*place, "s_tokens").alias("at")))
+        heavy = rows.where((F.col("size") > HEAVY) | (F.col("high") <= F.col("low") + 1))
+        if heavy.isEmpty():
+            break
+        cliques.append(heavy.where("high <= low + 1"))
+        wide = heavy.where("high > low + 1").join(line, ["h1", "h2"])
+        cut = (F.col("low") + F.floor((F.col("high") - F.col("low")) / 2)).cast("int")
+        wide = wide.withColumn("range", F.explode(F.array(F.struct(cut.alias("low"), F.col("high").alias("high")), F.struct(F.col("low").alias("low"), cut.alias("high")))))
+        at = [F.col("line"), F.col("tokens"), F.col("length"), F.col("range.low"), F.col("range.high")]
+        key = F.when(F.col("kind") == CHARS, _open(CHARS, *at)).otherwise(_open(WORDS, *at))
+        rows = wide.select("h1", "h2", "kind", "length", F.col("range.low").alias("low"), F.col("range.high").alias("high"), key.alias("key"), "tokens")
+    # What stands before and behind the open tokens is equal, so only these are compared; any range that two lines share will do.
+    found = functools.reduce(DataFrame.union, near).groupBy("r1", "r2", "s1", "s2", "at.kind").agg(F.min("at").alias("at"))
+    both = found.join(_at(line, "r"), ["r1", "r2"]).join(_at(line, "s"), ["s1", "s2"])
+    both = both.select("kind", "r1", "r2", "s1", "s2", "r_w", "s_w", _middle("r_line", F.col("at.length")).alias("r"), _middle("s_line", F.col("at.s_tokens")).alias("s"))
+    r_size, s_size = F.char_length("r"), F.char_length("s")
+    swap = r_size < s_size
+    linked = (F.abs(r_size - s_size) <= 1) & (F.least(r_size, s_size) > 1) & (banded_distance(F.when(swap, F.col("s")).otherwise(F.col("r")), F.when(swap, F.col("r")).otherwise(F.col("s")), 1) <= 1)
+    if words:
+        # s has as many words as r, or one more.
+        linked = F.when(F.col("kind") == WORDS, (array_distance(_words(F.col("s")), _words(F.col("r")), 1) <= 1) | ((F.col("r_w") < F.col("s_w")) & linked)).otherwise(linked & ((F.col("r_w") < words) | (F.col("s_w") < words)))
+    pairs = _ordered(both.where(linked), "r", "s")
+    if not cliques:
+        none = pairs.limit(0)
+        return pairs.distinct(), none, none.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.lit(0).cast("long").alias("links"))
+    more, edges, counts = _dense(functools.reduce(DataFrame.union, cliques), line, words)
+    return pairs.union(more).distinct(), edges, counts
+
+
+def _middle(line: str, tokens: Column) -> Column:
+    """The open tokens of a line of so many, for which ``at`` has the range in lines of its length."""
+    low, size = F.col("at.low"), tokens - F.col("at.length") + F.col("at.high") - F.col("at.low")
+    words = F.call_function("substring_index", F.call_function("substring_index", F.col(line), F.lit(" "), low + size), F.lit(" "), -size)
+    return F.when(F.col("at.kind") == CHARS, F.substring(F.col(line), low + 1, size)).otherwise(words)
+
+
+def _dense(cliques: DataFrame, line: DataFrame, words: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links of keys with one open token, as near_lines returns them."""
+    rows = cliques.join(line, ["h1", "h2"])
+    gap = lambda kind: F.slice(_tokens(kind, F.col("line")), F.col("low") + 1, F.col("tokens") - F.col("length") + 1)
+    rows = rows.select("key", "kind", "h1", "h2", "w", (F.col("tokens") == F.col("length")).alias("own"), F.when(F.col("kind") == CHARS, gap(CHARS)).otherwise(gap(WORDS)).alias("gap"))
+    rows = written(rows, "line-cliques")
+    own = rows.where("own")
+    # By characters, two lines of just so many words are left to the comparison by words.
+    both_ways = (F.col("kind") == CHARS) & (F.col("w") >= (words or 1 << 30))
+    groups = own.groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("head"), F.count(F.lit(1)).alias("size"), F.count_if(both_ways).alias("twice"))
+    met = own.join(groups, "key").where("size > 1")
+    edges = _ordered(met.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("head.h1").alias("s1"), F.col("head.h2").alias("s2")).where("r1 <> s1 or r2 <> s2"), "r", "s")
+    counts = met.groupBy("h1", "h2").agg(F.sum(F.when(both_ways, F.col("size") - F.col("twice")).otherwise(F.col("size") - 1)).alias("links"))
+    t = own.select("key", "kind", both_ways.alias("r_both"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.get("gap", F.lit(0)).alias("token"), F.char_length(F.get("gap", F.lit(0))).alias("size"))
+    s = rows.where("not own").select("key", both_ways.alias("s_both"), F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.get("gap", F.lit(0)).alias("x"), F.get("gap", F.lit(1)).alias("y"), "kind")
+    held = F.array_distinct(F.when(F.col("kind") == CHARS, F.array("x", "y")).otherwise(F.array("x", "y", F.concat("x", "y"))))
+    put = t.join(s.select("key", "s_both", "s1", "s2", F.explode(held).alias("token")), ["key", "token"]).where("not (r_both and s_both)")
+    # A space that another character took the place of.
+    by_words = s.where(F.col("kind") == WORDS).select("key", "s1", "s2", "x", "y", (F.char_length("x") + F.char_length("y") + 1).alias("size"))
+    changed = t.join(by_words, ["key", "size"]).where(F.startswith("token", "x") & F.endswith("token", "y"))
+    return _ordered(put, "r", "s").union(_ordered(changed, "r", "s")).distinct(), edges, counts
+
+
 def _name(h1: str, h2: str) -> Column:
     return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0"))
 
@@ -212,19 +388,27 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id
     A class is what links of lines connect, equal lines being one; links counts a line's links to different lines.
     """
     pair = ["a1", "a2", "b1", "b2"]
-    found = line_links(docs, edits, least, text_col).select(pair)
-    if words:
-        found = found.union(word_links(docs, words, least, text_col).select(pair)).distinct()
+    if edits == 1:
+        each = _lines(docs.select(F.lit(0).alias("id"), text_col), "id", text_col, least)
+        found, more, counted = near_lines(each, least, words)
+    else:
+        found = line_links(docs, edits, least, text_col).select(pair)
+        if words:
+            found = found.union(word_links(docs, words, least, text_col).select(pair)).distinct()
+        more, counted = None, None
     found = written(found, "line-links")
-    joined = components(found.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "line-classes")
-    degree = found.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(found.select("b1", "b2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links"))
+    edges = found.union(more) if more is not None else found
+    joined = components(edges.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")), "line-classes")
+    each_end = found.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(found.select("b1", "b2")).withColumn("links", F.lit(1).cast("long"))
+    degree = (each_end.union(counted) if counted is not None else each_end).groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     seen = _lines(docs, id_col, text_col, min(exact, least)).groupBy("h1", "h2").agg(F.min(F.struct("id", "whole", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     seen = seen.join(degree, ["h1", "h2"], "left").where("n > 1 or links is not null").withColumn("name", _name("h1", "h2"))
-    linked = seen.where("links is not null").join(joined.withColumnRenamed("node", "name"), "name")
+    # A line whose only fellows are linked to it otherwise has no links of its own, but a class.
+    linked = seen.join(joined.withColumnRenamed("node", "name"), "name", "left")
+    linked = linked.withColumn("component", F.coalesce("component", "name"))
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
-    linked = linked.join(heads, "component").select("h1", "h2", F.col("head").alias("first"), "links")
-    alone = seen.where("links is null").select("h1", "h2", "first", F.lit(0).cast("long").alias("links"))
-    return linked.union(alone).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.whole").alias("first_whole"), F.col("first.pos").alias("first_pos"), "links")
+    linked = linked.join(heads, "component")
+    return linked.select("h1", "h2", F.col("head.id").alias("first_id"), F.col("head.whole").alias("first_whole"), F.col("head.pos").alias("first_pos"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1, words: int | None = MIN_WORDS) -> DataFrame:
