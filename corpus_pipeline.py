@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import lines, mixing, packing, quality, simhash
-from siltstone.llm.common import written
+from siltstone.llm.common import discard, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; n_chars follows the text."""
-    return _counted(lines.without_repeated_lines(docs), docs)
+    """Documents without lines of 24 characters or more that repeat earlier ones, or are one character apart; n_chars follows the text."""
+    return _counted(lines.without_repeated_lines(docs, exact=lines.MIN_CHARS, words=None), docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)  # what the stage before wrote; the input has no such path
     return STAGES[-1][1](spark, docs, sf_dir)
