@@ -14,10 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where all runs in one process, a local one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
@@ -28,12 +30,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: For each ``settled`` in progress, the tables written since it began.
+_OPEN: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it as Parquet in the shared folder and read that back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siltstone_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make returns, written; the tables that it wrote on the way are deleted."""
+    _OPEN.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        made = _OPEN.pop()
+    for table in made[:-1]:
+        discard(table)
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, written
+from .common import components, documents, settled, written
 
 #: Edits up to which lines are linked, and characters from which on they are looked at.
 EDITS = 1
@@ -413,7 +413,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1, words: int | None = MIN_WORDS) -> DataFrame:
     """(id, whole, removed, links) of each document that has any: positions of lines that repeat an earlier one, and links."""
-    classes = written(line_classes(docs, edits, least, id_col, text_col, exact, words), "line-firsts")
+    classes = settled(lambda: line_classes(docs, edits, least, id_col, text_col, exact, words), "line-firsts")
     seen = _lines(docs, id_col, text_col, min(exact, least)).select("id", "whole", "pos", "h1", "h2")
     met = seen.join(classes, ["h1", "h2"])
     again = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("whole") == F.col("first_whole")) & (F.col("pos") == F.col("first_pos")))
@@ -439,10 +439,10 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_
     return met.select(F.col("doc").alias(id_col), n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = MIN_CHARS, words: int | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int = 1, words: int | None = MIN_WORDS) -> DataFrame:
     """docs with the repeated lines of line_report taken out of the text; documents of which nothing is left go.
 
-    Lines of fewer than ``exact`` characters are left alone, in line_report only blank ones. Lines of which a word is
+    Lines of fewer than ``exact`` characters, by default only blank ones, are left alone. Lines of which a word is
     changed are linked if ``words`` tells from how many words on.
     """
     found = repeated_lines(docs, edits, least, id_col, text_col, exact, words).where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("whole").alias("__whole"), F.col("removed").alias("__removed"))

@@ -12,14 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, map_arrow, written
+from .common import components, documents, map_arrow, settled, written
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 QUARTERS = 4
 #: Rows of a leaf of a local tree, which is compared with its queries at once.
 LEAF = 64
-#: Fixed vantage points of the shared upper tree, in a quarter's 16 bits.
-VANTAGE = (0x00FF, 0x0F0F, 0x3333, 0x5555)
+#: Vantage points of the shared upper tree, in a quarter's 16 bits; how many are used, and so its depth, follows the number of nodes.
+VANTAGE = (0x00FF, 0x0F0F, 0x3333, 0x5555, 0x1E2D, 0x6B4C, 0x35A9, 0x7C13, 0x2D66, 0x59E2)
+SHALLOW = 4
+#: Nodes of a shard that the depth aims at.
+SHARD_NODES = 2_000
 
 
 def _hashes(data: bytes, shingle: int, seed: int = 42) -> np.ndarray:
@@ -192,22 +195,38 @@ def _forests(radius: int, words: int, apart: int | None, forest: bool):
     return work
 
 
-def _shard(quarter):
-    """The leaf of the fixed upper tree: the quarter's distances from the vantage points, as one number."""
-    code = F.lit(0)
-    for v in VANTAGE:
+def _shard(quarter, depth: int = SHALLOW):
+    """The leaf of the upper tree: the quarter's distances from the first vantage points, as one number."""
+    code = F.lit(0).cast("long")
+    for v in VANTAGE[:depth]:
         code = code * 17 + F.bit_count(quarter.bitwiseXOR(F.lit(v).cast("long")))
     return code
 
 
-def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None = None, forest: bool = True) -> DataFrame:
+@functools.lru_cache(maxsize=1)
+def _leaves() -> list[int]:
+    """Leaves of the upper tree of a quarter, by depth."""
+    code = np.zeros(1 << 16, np.int64)
+    out = [1]
+    for v in VANTAGE:
+        code = code * 17 + np.bitwise_count(np.arange(1 << 16) ^ v)
+        out.append(len(np.unique(code)))
+    return out
+
+
+def depth_for(n: int) -> int:
+    """Vantage points so that shards of n evenly spread nodes hold about SHARD_NODES; all of them beyond that."""
+    return next((d for d in range(SHALLOW, len(VANTAGE)) if n <= SHARD_NODES * _leaves()[d]), len(VANTAGE))
+
+
+def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None = None, forest: bool = True, depth: int = SHALLOW) -> DataFrame:
     """Edges (a, b) of ids whose components are those of all pairs of nodes within radius bits in any of their words.
 
     nodes: id, w0, w1 ... (64-bit words of a fingerprint), ids unique. With ``apart``, pairs must besides differ in
     at most so many bits of all words together. radius < 8. Of two words within radius, some quarter of 16 bits
     differs in at most radius // 4 bits (one, for 4). So there is a tree for each quarter. Its upper levels are the
-    same everywhere: the shard of a point is its quarter's distances from four fixed vantage points. By the triangle
-    inequality a neighbour's distances differ by at most that allowance, so as a query a word visits its own shard
+    same everywhere: the shard of a point is its quarter's distances from ``depth`` fixed vantage points (see
+    ``depth_for``). By the triangle inequality a neighbour's distances differ by at most that allowance, so as a query a word visits its own shard
     and those across the boundary that clearing one bit can reach; of two quarters one bit apart, one reaches the
     other so. In a shard a vantage-point tree over whole words gives the exact pairs; of these a spanning forest
     goes on, so no shard emits more rows than it got, however many near copies it holds. Without ``forest`` all pairs
@@ -221,8 +240,8 @@ def links(nodes: DataFrame, radius: int = 4, words: int = 1, apart: int | None =
     parts = parts.select("id", *names, "tree", F.call_function("shiftrightunsigned", word, (F.col("tree") % QUARTERS) * 16).bitwiseAND(F.lit(0xFFFF)).alias("quarter"))
     bits = F.array(F.lit(0).cast("long"), *([F.lit(1 << i).cast("long") for i in range(16)] if radius >= QUARTERS else []))
     near = F.filter(bits, lambda x: F.col("quarter").bitwiseAND(x) == x)
-    visits = parts.select("id", *names, "tree", "quarter", F.explode(F.array_distinct(F.transform(near, lambda x: _shard(F.col("quarter").bitwiseXOR(x))))).alias("shard"))
-    visits = visits.select("tree", "shard", (F.col("shard") == _shard(F.col("quarter"))).cast("int").alias("home"), "id", *names)
+    visits = parts.select("id", *names, "tree", "quarter", F.explode(F.array_distinct(F.transform(near, lambda x: _shard(F.col("quarter").bitwiseXOR(x), depth)))).alias("shard"))
+    visits = visits.select("tree", "shard", (F.col("shard") == _shard(F.col("quarter"), depth)).cast("int").alias("home"), "id", *names)
     sharded = visits.repartition("tree", "shard").sortWithinPartitions("tree", "shard")
     return map_arrow(sharded, _forests(radius, words, apart, forest), "a long, b long")
 
@@ -235,12 +254,16 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_c
     Repeated ids keep a row each. No rows: no rows. Other columns of docs are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = prints.select(F.col("bits").alias("id"), F.col("bits").alias("w0")).distinct()
-    joined = components(links(nodes, radius), "simhash-links")
-    first = prints.groupBy("bits").agg(F.min("id").alias("first"))
-    group = first.join(joined.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    name = group.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = group.join(name, "component").select("bits", "component_id")
+
+    def names() -> DataFrame:
+        first = written(prints.groupBy("bits").agg(F.min("id").alias("first")), "simhash-firsts")
+        nodes = first.select(F.col("bits").alias("id"), F.col("bits").alias("w0"))
+        joined = components(links(nodes, radius, depth=depth_for(first.count())), "simhash-links")
+        group = first.join(joined.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
+        name = group.groupBy("component").agg(F.min("first").alias("component_id"))
+        return group.join(name, "component").select("bits", "component_id")
+
+    named = settled(names, "simhash-names")
     return prints.join(named, "bits").select(F.col("id").alias(id_col), "bits", "component_id")
 
 
@@ -256,19 +279,25 @@ def _majorities(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
-#: Bits of a block, and the words whose bits are compared for rows that share one.
+#: Bits of a block.
 BLOCK = 16
-CHECKED = 2
+#: Words whose bits are compared for rows that share a block, of how many they may differ in, and of sets of fewer than SHORT
+#: shingles: for all documents, and for the few that are left after the first round.
+FIRST, LATER = (4, 58, 72), (24, 300, 344)
+#: Sets of fewer shingles differ in more bits at the same similarity.
+SHORT = 9
 
 
 #: Rows of a block up to which all near pairs go on, as they are few.
-SMALL = 16
+SMALL = 8
 
 
-def _earlier(rows: np.ndarray, apart: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _earlier(rows: np.ndarray, apart: int, every: bool, sizes: np.ndarray | None = None, similarity: float = 0.0, short_apart: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs (earlier id, later id) within whole blocks of rows (block, id, words) sorted by block and id.
 
-    Without ``every``, of a block of more than SMALL rows only a spanning forest of them.
+    Without ``every``, of a block of more than SMALL rows only a spanning forest of them. With ``sizes``, two sets of
+    sizes that alone rule out the similarity aren't near, ``short_apart`` is the bound for sets of fewer than SHORT, and a pair
+    that shares an earlier block of the words at hand is left to that block.
     """
     bits = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
     cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
@@ -277,7 +306,18 @@ def _earlier(rows: np.ndarray, apart: int, every: bool) -> Iterator[tuple[np.nda
     large = ends - starts > SMALL
 
     def near(x, y):
-        return np.bitwise_count(bits[x] ^ bits[y]).sum(axis=-1, dtype=np.int64) <= apart
+        differ = bits[x] ^ bits[y]
+        count = np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
+        if sizes is None:
+            return count <= apart
+        least, most = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+        met = (count <= np.where(least < SHORT, short_apart, apart)) & (least >= similarity * most)
+        at = np.flatnonzero(met)
+        if len(at):
+            equal = differ[at].view("<u2") == 0
+            block = rows[y[at], :1] >> BLOCK
+            met[at] = ~(equal & (np.arange(equal.shape[1]) < block)).any(axis=1)
+        return met
 
     ask = np.flatnonzero((left > 0) & ~np.repeat(large, ends - starts))
     for step in range(1, SMALL):
@@ -305,10 +345,11 @@ def _earlier(rows: np.ndarray, apart: int, every: bool) -> Iterator[tuple[np.nda
                 yield np.minimum(rows[x, 1], rows[y, 1]), np.maximum(rows[x, 1], rows[y, 1])
 
 
-def _block_pairs(apart: int, every: bool):
+def _block_pairs(apart: int, every: bool, similarity: float, short_apart: int):
     def pairs(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         out, n = [], 0
-        for pair in _earlier(np.concatenate(held), apart, every):
+        rows = np.concatenate(held)
+        for pair in _earlier(rows[:, :-1], apart, every, rows[:, -1], similarity, short_apart):
             out.append(pair)
             n += len(pair[0])
             if n >= PAIRS:
@@ -337,30 +378,32 @@ def _block_pairs(apart: int, every: bool):
     return work
 
 
-def block_links(nodes: DataFrame, words: int, apart: int, every: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of nodes (id, w0, w1 ...) that are equal in a block of 16 bits of any word and differ
-    in at most ``apart`` bits of the first two words; some come more than once.
+def block_links(nodes: DataFrame, words: int, every: bool, similarity: float, bounds: tuple[int, int, int] = FIRST) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of nodes (id, n, w0, w1 ...) that are equal in a block of 16 bits of any word, differ in
+    few enough bits of the first words (see FIRST), and whose numbers n of shingles allow the similarity; some come more than once.
 
     Without ``every``, their components are those of all pairs, but of large shards only a forest goes on. A node goes to one shard a block,
     and shards hold one node in 65,536 of a corpus without near copies.
     """
+    checked, apart, short_apart = bounds
     made = [((F.lit(k).cast("long") * (1 << BLOCK)) + F.call_function("shiftrightunsigned", F.col(f"w{k // 4}"), F.lit(k % 4 * BLOCK)).bitwiseAND(F.lit((1 << BLOCK) - 1))) for k in range(words * 64 // BLOCK)]
-    rows = nodes.select(F.explode(F.array(*made)).alias("block"), "id", *[f"w{i}" for i in range(CHECKED)])
+    rows = nodes.select(F.explode(F.array(*made)).alias("block"), "id", *[f"w{i}" for i in range(min(words, checked))], "n")
     sharded = rows.repartition("block").sortWithinPartitions("block", "id")
-    return map_arrow(sharded, _block_pairs(apart, every), "a long, b long")
+    return map_arrow(sharded, _block_pairs(apart, every, similarity, short_apart), "a long, b long")
 
 
 def _sketches(shingle: int, words: int):
-    names = ["key", "whole", "s1", "s2", *[f"w{i}" for i in range(words)]]
+    names = ["key", "whole", "s1", "s2", "n", *[f"w{i}" for i in range(words)]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.empty((2 + words, len(batch)), dtype=np.uint64)
+            made = np.empty((3 + words, len(batch)), dtype=np.uint64)
             for i, text in enumerate(batch.column(2)):
                 hashes = _hashes(text.as_py() or b"", shingle)
                 whole = np.unique(hashes)  # as the similarity, so repeats must not outweigh the rest
                 made[:2, i] = [xxhash.xxh64_intdigest(whole.tobytes(), seed) for seed in (1, 2)]
-                made[2:, i] = _majorities(whole, words)
+                made[2, i] = len(whole)
+                made[3:, i] = _majorities(whole, words)
             yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(m.view(np.int64)) for m in made]], names)
 
     return work
@@ -384,17 +427,19 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", alike.alias("alike"))
 
 
-def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 24, apart: int = 18) -> DataFrame:
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 24) -> DataFrame:
     """docs without the near copies of others: those of a Jaccard similarity of word shingles of ``similarity`` or
     more to a document that stays.
 
     Documents of the same set of shingles are one, the smallest id. The others' fingerprints have ``words`` words of
-    64 bits; documents equal in one of their blocks of 16 bits and within ``apart`` in 64 bits of the first two words
-    are linked. At a similarity of 0.8 a bit differs with a chance of 0.15, so one of 96 blocks is equal for all but
-    one pair in 1,000. In each of two rounds the smallest id of each component stays, and its members are compared with it: the
-    alike go, the others go on without it. By then groups of near copies are gone, and all linked pairs of what is
-    left are compared; there those go that are alike to an earlier one that stays. So of two alike, linked documents
-    one goes, whatever chains lead through their group, and each goes for one that stays.
+    64 bits; documents equal in one of their blocks of 16 bits, within 58 of the 256 bits of the first four words and of numbers of
+    shingles that allow the similarity are linked (72 bits for those of fewer than nine shingles, of which one more or less
+    changes more bits). At a similarity of 0.8 a bit differs with a chance of 0.15, so one of 96 blocks is equal for all but
+    one pair in 1,000, and about as few differ in more bits. In each of two rounds the smallest
+    id of each component stays, and its members are compared with it: the alike go, the others go on without it. By then
+    groups of near copies are gone, and all linked pairs of what is left are compared, by then within 300 of all 1,536 bits; there those go that are alike to an
+    earlier one that stays. So of two alike, linked documents one goes, whatever chains lead through their group, and each
+    goes for one that stays.
 
     Texts without words have no shingles and count as alike. Rows are told apart by id and text, so those that share
     an id, or have none, are compared like others; null ids come first among exact copies, and of near copies those
@@ -404,7 +449,16 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     key = F.coalesce(F.col(id_col).cast("long"), lowest)
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(key.alias("key"), F.xxhash64(data).alias("whole"), data.alias("data"))
-    names = [f"w{i}" for i in range(words)]
+    lost = settled(lambda: _lost(rows, shingle, similarity, words), "simhash-lost").toDF("__key", "__gone")
+    known = docs.withColumns({"__id": key, "__whole": F.xxhash64(data)})
+    left = known.join(lost, (F.col("__id") == F.col("__key")) & (F.col("__whole") == F.col("__gone")), "left_anti")
+    return left.dropDuplicates(["__id", "__whole"]).drop("__id", "__whole")
+
+
+def _lost(rows: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
+    """(key, whole) of the rows (key, whole, data) that one_each leaves out."""
+    lowest = F.lit(-(1 << 63))
+    names = ["n", *[f"w{i}" for i in range(words)]]
     prints = written(map_arrow(rows, _sketches(shingle, words), "key long, whole long, s1 long, s2 long, " + ", ".join(f"{n} long" for n in names)), "simhash-sketches")
     firsts = prints.groupBy("s1", "s2").agg(F.min(F.struct("key", "whole", *names)).alias("first")).select("s1", "s2", "first.*")
     # The node of a document is its id; where that is null or shared, the hash of its shingles.
@@ -418,15 +472,15 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     place = firsts.select("id", "key", "whole")
 
     sets = None
-    for _ in range(2):
-        found = components(block_links(live, words, apart * CHECKED, False), "simhash-links")
+    for bounds in (FIRST, LATER):
+        found = components(block_links(live, words, False, similarity, bounds), "simhash-links")
         if sets is None:
             asked = rows.join(place.join(found.select(F.col("node").alias("id")), "id", "left_semi"), ["key", "whole"]).select("id", "data")
             sets = written(map_arrow(asked, _shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "simhash-sets")
         met = written(_compared(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), sets, similarity), "simhash-met")
         gone.append(met.where("alike").select(F.col("b").alias("id")))
         live = written(live.join(met.where("not alike").select(F.col("b").alias("id")), "id", "left_semi"), "simhash-live")
-    pairs = written(block_links(live, words, apart * CHECKED, True).distinct(), "simhash-left")
+    pairs = written(block_links(live, words, True, similarity, LATER).distinct(), "simhash-left")
     edges = written(_compared(pairs, sets, similarity).where("alike").select("a", "b"), "simhash-pairs")
     while not edges.isEmpty():
         stay = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()
@@ -434,10 +488,7 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         gone.append(out)
         edges = written(edges.join(out, edges["a"] == out["id"], "left_anti").join(out, edges["b"] == out["id"], "left_anti"), "simhash-pairs")
     near = place.join(functools.reduce(DataFrame.union, gone).distinct(), "id", "left_semi").select("key", "whole")
-    lost = copies.union(near).distinct().toDF("__key", "__gone")
-    known = docs.withColumns({"__id": key, "__whole": F.xxhash64(data)})
-    left = known.join(lost, (F.col("__id") == F.col("__key")) & (F.col("__whole") == F.col("__gone")), "left_anti")
-    return left.dropDuplicates(["__id", "__whole"]).drop("__id", "__whole")
+    return copies.union(near).distinct()
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
