@@ -103,9 +103,10 @@ def pca(points: DataFrame, k: int) -> DataFrame:
 
 
 def density_clusters(points: DataFrame, min_size: int = 5, most: int = 20_000) -> DataFrame:
-    """(id, cluster_id) by single linkage of mutual reachability, cut where the spanning tree's edges jump most.
+    """(id, cluster_id; -1 is noise) by hierarchical density clustering: single linkage of mutual reachability, condensed to
+    clusters of at least min_size points, of which those of the largest excess of mass are taken.
 
-    A simple form of hierarchical density clustering for up to ``most`` points, on one task; larger inputs are refused.
+    For up to ``most`` points, on one task; larger inputs are refused.
     """
     if points.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} points")
@@ -132,9 +133,8 @@ def _density(pdf, min_size: int):
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[at], to[at], at))
     edges.sort()
-    weights = np.array([e[0] for e in edges])
-    cut = weights[np.diff(weights).argmax()] if len(weights) > 1 else np.inf
-    parent = list(range(n))
+    # The dendrogram: node n + i joins two earlier ones at a distance.
+    parent, size, joins = list(range(2 * n - 1)), [1] * n, []
 
     def root(i):
         while parent[i] != i:
@@ -143,9 +143,50 @@ def _density(pdf, min_size: int):
         return i
 
     for w, a, b in edges:
-        if w <= cut:
-            parent[root(b)] = root(a)
-    roots = np.array([root(i) for i in range(n)])
-    names, counts = np.unique(roots, return_counts=True)
-    kept = {r: i for i, r in enumerate(names[counts >= min_size])}
-    return pd.DataFrame({"id": pdf["id"], "cluster_id": [kept.get(r, -1) for r in roots]})
+        a, b = root(a), root(b)
+        parent[a] = parent[b] = n + len(joins)
+        joins.append((a, b, w))
+        size.append(size[a] + size[b])
+    # Condensed from the top: a split counts only if both sides are large enough; else the smaller side falls out.
+    birth, above, mass, fell = [0.0], [-1], [0.0], np.zeros(n, int)
+
+    def leaves(node):
+        out, stack = [], [node]
+        while stack:
+            i = stack.pop()
+            if i < n:
+                out.append(i)
+            else:
+                stack += joins[i - n][:2]
+        return out
+
+    stack = [(2 * n - 2, 0)] if n > 1 else []
+    while stack:
+        node, cluster = stack.pop()
+        a, b, w = joins[node - n]
+        level = 1 / max(w, 1e-12)
+        large = [x for x in (a, b) if size[x] >= min_size]
+        gone = [a, b] if len(large) != 1 else [x for x in (a, b) if size[x] < min_size]
+        mass[cluster] += (level - birth[cluster]) * sum(size[x] for x in gone)
+        if len(large) == 2:
+            for x in large:
+                birth.append(level)
+                above.append(cluster)
+                mass.append(0.0)
+                fell[leaves(x)] = len(birth) - 1
+                stack.append((x, len(birth) - 1))
+        elif large and large[0] >= n:
+            stack.append((large[0], cluster))
+    below = [[c for c in range(len(above)) if above[c] == k] for k in range(len(above))] if len(above) < 2000 else None
+    taken = np.ones(len(birth), bool)
+    taken[0] = False  # all points as one cluster are no answer
+    for k in range(len(birth) - 1, 0, -1):
+        children = below[k] if below is not None else [c for c in range(k + 1, len(above)) if above[c] == k]
+        inner = sum(mass[c] for c in children)
+        if children and inner > mass[k]:
+            taken[k], mass[k] = False, inner
+    names = np.full(len(birth), -1)
+    for k in range(1, len(birth)):  # a cluster inside a taken one is part of it
+        names[k] = names[above[k]] if names[above[k]] >= 0 else (names.max() + 1 if taken[k] else -1)
+    labels = names[fell]
+    return pd.DataFrame({"id": pdf["id"], "cluster_id": labels.astype(np.int32)})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import random
 import tempfile
 import uuid
@@ -25,11 +24,21 @@ def _stored(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         sc.setCheckpointDir(base)
     path = f"{base}/near-dup-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
+
+
+def _deleted(df: DataFrame) -> None:
+    """Delete what _stored wrote, when nothing will read it again."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _times(a: np.ndarray, b: int) -> np.ndarray:
@@ -62,8 +71,7 @@ def _bands(permutations: int, bands: int, seed: int):
         for batch in batches:
             ids, numbers, keys = [], [], []
             for key, shingles in zip(batch["id"], batch["shingles"]):
-                numbered = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "little") for s in shingles], dtype=np.uint64)
-                got = signatures(numbered, permutations, seed).reshape(bands, -1)
+                got = signatures(np.asarray(shingles, dtype=np.int64).view(np.uint64), permutations, seed).reshape(bands, -1)
                 ids += [key] * bands
                 numbers += range(bands)
                 keys += [row.tobytes() for row in got]
@@ -78,8 +86,9 @@ def candidate_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 5, permut
     docs: seq, text. Documents with the same set of shingles share every fate but the first's, so the first stands
     for all: copies never meet in a band. Within a band each document meets those of the same key.
     """
-    sets = docs.select("seq", T.shingles(F.col("text"), n).alias("shingles")).where(F.size("shingles") > 0)
-    sets = _stored(sets.withColumn("set", F.md5(F.array_join(F.sort_array("shingles"), "\n"))))
+    numbers = F.array_distinct(F.transform(T.shingles(F.col("text"), n), lambda s: T.shingle_number(s)))
+    sets = docs.select("seq", numbers.alias("shingles")).where(F.size("shingles") > 0)
+    sets = _stored(sets.withColumn("set", F.md5(F.array_join(F.sort_array("shingles").cast("array<string>"), ","))))
     firsts = sets.groupBy("set").agg(F.min("seq").alias("seq"))
     distinct = _stored(sets.join(firsts, ["set", "seq"], "left_semi").dropDuplicates(["seq"]))
     # Signatures cost most, so documents are spread over all cores whatever their files.
@@ -103,8 +112,9 @@ def exact_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 5) -> DataFra
     With shingles ordered from rare to frequent, two such sets share one among the first size - ceil(threshold *
     size) + 1 of each; so only rare shingles are ever joined on.
     """
-    sets = _stored(docs.select("seq", T.shingles(F.col("text"), n).alias("shingles")).where(F.size("shingles") > 0))
-    each = sets.select("seq", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")).withColumn("h", F.xxhash64("shingle")).drop("shingle")
+    numbers = F.array_distinct(F.transform(T.shingles(F.col("text"), n), lambda s: F.xxhash64(s)))
+    sets = _stored(docs.select("seq", numbers.alias("shingles")).where(F.size("shingles") > 0))
+    each = sets.select("seq", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy("seq").orderBy("n", "h"))
     prefix = each.join(counts, "h").where("n > 1").withColumn("rank", rank)
@@ -116,7 +126,7 @@ def exact_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 5) -> DataFra
     return verified(pairs, sets, threshold)
 
 
-def survivors(docs: DataFrame, threshold: float = 0.85, n: int = 5, permutations: int = 128, bands: int = 16, seed: int = 42, rounds: int = 1000) -> DataFrame:
+def survivors(docs: DataFrame, threshold: float = 0.85, n: int = 5, permutations: int = 128, bands: int = 16, seed: int = 42) -> DataFrame:
     """docs (seq, text, ...) less every document similar to one kept before it.
 
     Only kept documents suppress later ones: of a chain a ~ b ~ c with a unlike c, a and c stay. The sequential rule
@@ -126,15 +136,15 @@ def survivors(docs: DataFrame, threshold: float = 0.85, n: int = 5, permutations
     distinct, pairs = candidate_pairs(docs, threshold, n, permutations, bands, seed)
     edges = _stored(pairs.select("a", "b"))
     state = _stored(edges.select(F.col("a").alias("seq")).union(edges.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(rounds):
+    open_yet = True
+    while open_yet:
         earlier = edges.join(state.withColumnRenamed("kept", "a_kept").withColumnRenamed("seq", "a"), "a").groupBy("b").agg(F.max("a_kept").alias("any"), F.max(F.col("a_kept").isNull()).alias("open"))
         met = state.join(earlier, state["seq"] == earlier["b"], "left")
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("any"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
-        state = _stored(met.select("seq", decided.alias("kept")))
-        if state.where("kept is null").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("the order of suppression did not settle")
+        before, state = state, _stored(met.select("seq", decided.alias("kept")))
+        _deleted(before)
+        # The first open document of the order is decided in each round, so this ends.
+        open_yet = not state.where("kept is null").isEmpty()
     dropped = state.where("not kept").select("seq")
     wordless = docs.where(F.size(T.words(F.coalesce("text", F.lit("")))) == 0).select("seq")
     stay = distinct.select("seq").join(dropped, "seq", "left_anti").union(wordless)

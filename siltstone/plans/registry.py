@@ -289,10 +289,7 @@ def dense_topk(spark, sf_dir):
 @query(f"""WITH {DENSE}, s AS (SELECT q.vec_id AS query_id, i.vec_id AS chunk_id, list_dot_product(q.e, i.e) / (q.m * i.m) AS score FROM u q CROSS JOIN u i WHERE q.vec_id % 20 = 0)
 SELECT query_id, count(*) FILTER (WHERE score >= 0.65) AS n_passed FROM s GROUP BY query_id""")
 def relevance_gate(spark, sf_dir):
-    items, asked = _vectors(spark, sf_dir)
-    q = asked.select("query_id", retrieval.normalised(F.col("vector")).alias("q"))
-    scored = items.select(retrieval.normalised(F.col("vector")).alias("v")).crossJoin(q)
-    return scored.groupBy("query_id").agg(F.sum((retrieval.dot(F.col("q"), F.col("v")) >= 0.65).cast("long")).alias("n_passed"))
+    return retrieval.passed(*_vectors(spark, sf_dir), 0.65)
 
 
 @query(f"""WITH {BM25}, o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, count(*) AS hits FROM tf JOIN a USING (word) GROUP BY ALL)),
@@ -600,4 +597,6 @@ def trace_lookup(spark, sf_dir):
     return traces.latest_by_key(c).select("key", "conv_id", "turn", "text")
 
 
-from siltstone.plans import probes as _probes  # noqa: E402, F401  (adds its queries; it needs the names above)
+from siltstone.plans import probes as _probes  # noqa: E402, F401  (these add their queries; they need the names above)
+from siltstone.plans import corpus as _corpus  # noqa: E402, F401
+from siltstone.plans import review as _review  # noqa: E402, F401

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+from collections.abc import Callable
+from html import unescape
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
+#: Columns of a trace file (fixed values).
 TRACE_FIELDS = ["eval_num", "seq_num", "prompt", "target_answer", "model_output", "matching_score", "result", "category", "checkpoint_name", "timestamp"]
 
 
@@ -16,11 +24,9 @@ def document_files(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("pd
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines; blank lines go. Malformed lines are errors if strict, else left out."""
-    reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
     if strict:
-        return reader.schema(schema).json(path)
-    rows = reader.option("columnNameOfCorruptRecord", "_corrupt").schema(f"{schema}, _corrupt string").json(path)
-    return rows.where("_corrupt is null").drop("_corrupt")
+        return spark.read.option("mode", "FAILFAST").schema(schema).json(path)
+    return json_lines_counted(spark, path, schema)[0]
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
@@ -43,12 +49,94 @@ def aligned(spark: SparkSession, prompts: str, references: str) -> DataFrame:
     return both.select(F.posexplode(F.arrays_zip("p", "r")).alias("seq", "x")).select("seq", F.col("x.p").alias("prompt"), F.col("x.r").alias("reference"))
 
 
+def json_lines_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of JSON lines, one row with skipped: how many lines could not be read); blank lines are neither."""
+    # By way of text, as Spark's JSON scan refuses to read the corrupt lines alone.
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select(read.alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~bad).select("r.*").drop("_corrupt"), rows.agg(F.count_if(bad).alias("skipped"))
+
+
+def write_json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    rows.write.mode(mode).json(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where all runs in one process."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+        sc.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def trace_files(spark: SparkSession, path: str) -> DataFrame:
-    """Trace CSVs below path: ten fields as text, missing ones empty, numbers 0 where they can't be read; newest first by (modified, file)."""
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("multiLine", True).option("escape", '"').csv(path)
-    fields = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias(f) if f in rows.columns else F.lit("").alias(f) for f in TRACE_FIELDS]
-    rows = rows.select(*fields, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
-    return rows.withColumns({"seq_num": F.coalesce(F.col("seq_num").try_cast("int"), F.lit(0)), "matching_score": F.coalesce(F.col("matching_score").try_cast("double"), F.lit(0.0))})
+    """Trace CSVs below path: ten fields as text, missing ones empty, numbers 0 where they can't be read, with file, modified
+    and batch, from 0 for the newest file by (modified, file).
+
+    Each file is read by its own header: files are grouped by their first lines, of which there are few, and a line a file
+    reaches the driver.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"), F.max("modified").alias("modified")).collect()
+    if not heads:
+        kinds = ", ".join(f"{f} {dict(seq_num='int', matching_score='double').get(f, 'string')}" for f in TRACE_FIELDS)
+        return spark.createDataFrame([], f"{kinds}, file string, modified timestamp, batch int")
+    by_head: dict[str, list[str]] = {}
+    for r in heads:
+        by_head.setdefault(r["head"], []).append(r["file"])
+    out = None
+    for files in by_head.values():
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(files)
+        fields = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias(f) if f in rows.columns else F.lit("").alias(f) for f in TRACE_FIELDS]
+        rows = rows.select(*fields, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+        out = rows if out is None else out.union(rows)
+    newest = sorted(heads, key=lambda r: (r["modified"], r["file"]), reverse=True)
+    batches = spark.createDataFrame([(r["file"], i) for i, r in enumerate(newest)], "file string, batch int")
+    out = out.withColumns({"seq_num": F.coalesce(F.col("seq_num").try_cast("int"), F.lit(0)), "matching_score": F.coalesce(F.col("matching_score").try_cast("double"), F.lit(0.0))})
+    return out.join(batches, "file").select(*TRACE_FIELDS, "file", "modified", "batch")
+
+
+def scanner(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """document_files of a store: local (or windows), by a path of this file system, or s3, by bucket and prefix."""
+    if kind in ("local", "windows"):
+        return document_files(spark, path)
+    if kind == "s3":
+        return document_files(spark, path if path.startswith("s3a://") else f"s3a://{path.removeprefix('s3://')}")
+    raise ValueError(f"unknown store: {kind}")
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Metrics that append_metrics wrote; lines that can't be read are left out, and no file at all gives no rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return json_lines(spark, path, schema)
+
+
+def write_index(vectors: DataFrame, chunks: DataFrame, path: str) -> DataFrame:
+    """A vector index as Parquet (chunk_id, normalised vector) beside its chunks; returns its manifest: chunks, tokens."""
+    from siltstone.operators.retrieval import normalised
+
+    vectors.select("chunk_id", normalised(F.col("vector")).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    manifest = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    return manifest
+
+
+def with_cached_vectors(chunks: DataFrame, cache: DataFrame, embed: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """chunks with key, the SHA-256 of the text, and vector: from the cache (key, vector), else embedded. A changed text has another
+    key, so a stale vector is never used; write key and vector of the result for the next time."""
+    keyed = chunks.withColumn("key", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    met = keyed.join(cache.select("key", F.col("vector").alias("__known")).dropDuplicates(["key"]), "key", "left")
+    return met.withColumn("vector", F.coalesce("__known", embed(F.col(text)))).drop("__known")
 
 
 def write_traces(rows: DataFrame, path: str) -> None:
@@ -64,10 +152,14 @@ def write_store(store: DataFrame, path: str) -> None:
     store.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("probe").parquet(path)
 
 
+@F.pandas_udf(D.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """All named and numeric entities resolved, for which Spark has no table."""
+    return text.map(lambda t: unescape(t) if t and "&" in t else t)
+
+
 def html_text(html: str = "html"):
-    """Plain text of an HTML column: scripts and styles cut, tags to spaces, common entities decoded."""
+    """Plain text of an HTML column: scripts and styles cut, tags to spaces, entities decoded. Null: empty."""
     t = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(t), r"[\s\u00a0]+", " "))
