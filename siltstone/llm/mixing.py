@@ -139,7 +139,9 @@ def shuffled_shards(mix: DataFrame, path: str) -> None:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    """shards lists the output shards of the copies of a row's block, in the order of copies; the last may be partial or, beyond the border, empty."""
+    made = mix_plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return made.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 OP8_SQL = r"""
@@ -158,6 +160,18 @@ q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS w
 e AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS epochs FROM q),
 c AS (SELECT d.*, e.source_size, e.target, e.epochs, e.whole - e.epochs * e.source_size AS rest,
              sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS before
-      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM c
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+bs AS (SELECT source, substr(k, 1, 2) AS block, CAST(sum(size) AS BIGINT) AS block_size FROM d GROUP BY ALL),
+bb AS (SELECT bs.*, e.epochs, e.whole - e.epochs * e.source_size AS rest, sum(block_size) OVER (PARTITION BY bs.source ORDER BY block ROWS UNBOUNDED PRECEDING) - block_size AS before
+       FROM bs JOIN e ON bs.source IS NOT DISTINCT FROM e.source),
+n0 AS (SELECT source, block, unnest(range(1, CAST(epochs + (before + block_size <= rest OR before < rest)::INT + 1 AS BIGINT))) AS copy, 0 AS shard FROM bb),
+""" + "".join(f"""
+n{i + 1} AS (SELECT source, block, copy, shard * 2 + (r > ceil(c / 2.0))::INT AS shard FROM (SELECT *, count(*) OVER (PARTITION BY shard) AS c,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', 17, {i}, shard, coalesce(source, chr(0)), block, copy)), source NULLS FIRST, block, copy) AS r FROM n{i})),""" for i in range(4)) + r"""
+qs AS (SELECT source, shard, count(*) AS quota FROM n4 GROUP BY ALL),
+rs AS (SELECT source, shard, sum(quota) OVER w - quota AS low, sum(quota) OVER w AS high FROM qs WINDOW w AS (PARTITION BY source ORDER BY shard ROWS UNBOUNDED PRECEDING)),
+ps AS (SELECT source, block, copy, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 17, block, copy)), block, copy) - 1 AS turn FROM n0),
+ds AS (SELECT ps.source, block, string_agg(shard, ',' ORDER BY copy) AS shards FROM ps JOIN rs ON ps.source IS NOT DISTINCT FROM rs.source AND turn >= low AND turn < high GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken, coalesce(shards, '') AS shards
+FROM c LEFT JOIN ds ON ds.source IS NOT DISTINCT FROM c.source AND ds.block = substr(k, 1, 2)
 """

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, written
@@ -124,11 +125,31 @@ def repeats(contexts: list[bytes], mores: np.ndarray, docs: np.ndarray, starts:
 
 
 def _sort_shard(shard: pd.DataFrame) -> pd.DataFrame:
+    shard = shard.drop_duplicates(["doc", "start"])  # of a row that stands several times
     return repeats(shard["context"].tolist(), shard["more"].to_numpy(), shard["doc"].to_numpy(), shard["start"].to_numpy())
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, spans array<struct<first, end>>): byte spans of strings of 100 bytes that also start earlier.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, data): doc is a whole number that puts rows in order, one for each document.
+
+    It is the id, unless ids are null or shared: then rows are documents of their own if they differ in id or text, and
+    doc is their place by id, null first, and a hash of the text.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("data"))
+    if rows.groupBy("id").count().where("id is null or count > 1").isEmpty():
+        return rows.select(F.col("id").alias("doc"), "id", "data")
+    pairs = rows.select("id", F.xxhash64("data").alias("h")).distinct()
+    # Written, since the bounds of ranges are sampled anew if a lost part is made again.
+    pairs = written(pairs.repartitionByRange(F.col("id").asc_nulls_first(), "h").withColumn("part", F.spark_partition_id()), "substring-keys")
+    sizes = pairs.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("part", (F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "h"))
+    keys = pairs.withColumn("inside", inside).join(before, "part").select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), (F.col("before") + F.col("inside")).cast("long").alias("doc"))
+    return rows.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.xxhash64("data") == F.col("k_h"))).select("doc", "id", "data")
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """(doc, spans array<struct<first, end>>) of rows (doc, data): byte spans of strings of 100 bytes that also start earlier.
 
     Exact and over all rows, but only what can repeat is sorted:
     1. Every string of 100 bytes belongs to one of its anchors (a minimizer). Anchors whose hash stands once in the
@@ -138,7 +159,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Where an anchor has runs of different bytes, their contexts (some 130 bytes each) are sent to the anchor's
        shard, sorted there as suffixes (see ``suffixes``), and strings found equal give up all starts but the first.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("data")).where("doc is not null and data is not null")
+    rows = rows.select("doc", "data").where("data is not null")
     names = ["anchor", "whole"]
     seen = map_arrow(rows, _anchors(LENGTH, ANCHOR, names), "anchor long, whole long")
     shared = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") < F.max("whole")).alias("mixed")).where("n > 1").select("anchor", "mixed")
@@ -195,13 +216,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte goes if a string of 100 bytes that covers it also starts earlier: in a row of a smaller id, or before it
     in the same row; judged on the input, overlaps counted. n_spans counts maximal removed runs; kept is binary, as a
-    cut may fall inside a character. Null text: no bytes. Texts under 100 bytes are left alone, and so are rows of
-    null id, which have no place in the order. Rows that share an id count as one document: an exact repetition of
-    such a row is not removed. No rows: no rows.
+    cut may fall inside a character. Null text: no bytes. Texts under 100 bytes are left alone. Rows of null id come
+    first. Rows that share an id, or have none, are documents of their own if they differ in text, in the order of a hash;
+    an exact repetition of a row counts as the same document and loses no more than the row does. No rows: no rows.
     """
-    spans = repeated_spans(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("data"))
-    return map_arrow(rows.join(spans, "doc", "left").select("doc", "data", "spans"), _cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc", id_col)
+    rows = _keyed(docs, id_col, text_col)
+    spans = repeated_spans(rows)
+    return map_arrow(rows.join(spans, "doc", "left").select("id", "data", "spans"), _cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc", id_col)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
