@@ -66,7 +66,12 @@ def ranked(rows: DataFrame, key: str) -> DataFrame:
     """rows with __rank, from 0, in the order of a text key: range partitions are counted, and each counts on from the ones before."""
     from pyspark.sql import Window as W
 
-    d = rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
+    from siltstone.sources.io import shared_path
+
+    path = shared_path(rows.sparkSession, "ranked")
+    # Written, since the bounds of ranges are sampled anew if a lost part is made again.
+    rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    d = rows.sparkSession.read.parquet(path)
     sizes = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = sizes.select("__part", (F.sum("__size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")).alias("__before"))
     inside = F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1
