@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import documents
 
 K = 5
+#: Code points of a gram, grams of a k-mer of code points, and words below which these count too.
+GRAM, CODE_K, FEW_WORDS = 4, 5, 64
 SKETCH = 64
 #: Ids that share floor(id / BUCKET) are put in order together.
 BUCKET = 1024
@@ -21,6 +23,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _chosen(h: Column, k: int) -> Column:
+    """Closed syncmers of a sequence known by its items' hashes: array<struct<pos int, hash long>>."""
+
+    def at(i: Column, j: int) -> Column:
+        return F.get(h, i + j)
+
+    n = F.size(h)
+    inner = [F.lit((1 << 63) - 1)]
+    ok = lambda i: F.least(at(i, 0), at(i, k - 1)) <= F.least(*[at(i, j) for j in range(1, k - 1)], *inner)
+    picked = F.filter(F.sequence(F.lit(0), n - k), ok)
+    made = F.transform(picked, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[at(i, j) for j in range(k)]).alias("hash")))
+    short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")).alias("hash")))
+    return F.when(n >= k, made).when(n > 0, short).otherwise(F.slice(short, 1, 0))
+
+
+def _grams(c: Column) -> Column:
+    """Hashes of each GRAM code points in a row; of fewer, of all."""
+    many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - GRAM, F.lit(0))), lambda i: F.xxhash64(*[F.get(c, i + j) for j in range(GRAM)]))
+    return F.when(F.size(c) > 0, many).otherwise(F.array().cast("array<bigint>"))
+
+
 def anchors(text: Column, k: int = K) -> Column:
     """Closed syncmers: array<struct<pos int, hash long>> of the chosen k-mers, in order.
 
@@ -28,22 +51,26 @@ def anchors(text: Column, k: int = K) -> Column:
     is chosen if the smallest of its words' hashes is at its first or last word, which depends on the k-mer alone: a
     passage has the same anchors wherever it stands, and no k-mer in a row of k - 1 windows goes without one. Texts
     of fewer than k words have one anchor, the whole sequence; without words, none. Null counts as empty.
+
+    Texts of fewer than FEW_WORDS words, be they short or of a script without spaces, have the syncmers of their code
+    points as well (of five neighbouring four-grams, so of eight code points), their places counted from -1 down.
     """
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    whole = F.coalesce(text, F.lit(""))
+    words = F.array_remove(F.split(whole, r"[\x20\x09-\x0D]+"), "")
+
+    def both(w: Column) -> Column:
+        points = F.filter(F.split(F.array_join(w, " "), ""), lambda c: c != "")
+        fine = let(let(points, _grams), lambda h: _chosen(h, CODE_K))
+        placed = F.transform(fine, lambda a: F.struct((-1 - a["pos"]).alias("pos"), F.bitwise_not(a["hash"]).alias("hash")))
+        own = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _chosen(h, k))
+        return F.when(F.size(w) < FEW_WORDS, F.concat(own, placed)).otherwise(own)
 
-    def chosen(h: Column) -> Column:
-        def at(i: Column, j: int) -> Column:
-            return F.get(h, i + j)
+    return let(words, both)
 
-        n = F.size(h)
-        inner = [F.lit((1 << 63) - 1)]
-        ok = lambda i: F.least(at(i, 0), at(i, k - 1)) <= F.least(*[at(i, j) for j in range(1, k - 1)], *inner)
-        picked = F.filter(F.sequence(F.lit(0), n - k), ok)
-        made = F.transform(picked, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[at(i, j) for j in range(k)]).alias("hash")))
-        short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")).alias("hash")))
-        return F.when(n >= k, made).when(n > 0, short).otherwise(F.slice(short, 1, 0))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), chosen)
+def aligned(a: Column, b: Column) -> Column:
+    """How many anchors two texts share at the same places."""
+    return F.size(F.array_intersect(a, b)).cast("long")
 
 
 def sketch(found: Column, size: int = SKETCH) -> Column:
@@ -102,6 +129,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """aligned_edited: anchors that the text and the edited text share at the same places."""
     made = with_edits(documents(spark, sf_dir).select("doc_id", "text"))
-    made = made.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[sketch(anchors(F.col(c))).alias(n) for c, n in (("text", "own"), ("edited", "other"), ("next_text", "following"))])
-    return made.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("own")).alias("fingerprint"), as_string(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
+    made = made.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[anchors(F.col(c)).alias(n) for c, n in (("text", "a"), ("edited", "b"), ("next_text", "c"))])
+    made = made.select("doc_id", "n_chars", "edited_sha256", aligned(F.col("a"), F.col("b")).alias("aligned_edited"), *[sketch(F.col(c)).alias(n) for c, n in (("a", "own"), ("b", "other"), ("c", "following"))])
+    return made.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("own")).alias("fingerprint"), as_string(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"), "aligned_edited")

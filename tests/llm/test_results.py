@@ -201,3 +201,27 @@ def test_deeper_upper_trees_find_the_same_links(spark):
             x, y = find(int(a)), find(int(b))
             parent[max(x, y)] = min(x, y)
         assert [find(int(b)) for b in bits] == bits[group].tolist()
+
+
+def test_op4_likeness(spark):
+    """Anchors and likeness by plain Python, on texts of few words, without spaces, and long."""
+    from siltstone.llm import syncmers
+
+    rnd = random.Random(5)
+    long = [" ".join(f"w{rnd.randrange(10**4)}" for _ in range(90)) for _ in range(3)]
+    texts = ["", "one", "some few words only here", "今日は天気が良いので散歩に行きました。お弁当も食べました", "a\tb  c", *long]
+    rows = [(i, t, t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2]) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "i int, a string, b string")
+    d = d.select("i", syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
+    d = d.select("*", *[syncmers.sketch(F.col(c)).alias(f"s_{c}") for c in "ab"]).select("*", syncmers.likeness(F.col("s_a"), F.col("s_b")).alias("near"), syncmers.aligned(F.col("a"), F.col("b")).alias("aligned"))
+    for r in d.orderBy("i").collect():
+        a, b = ({x.hash for x in side} for side in (r.a, r.b))
+        low = sorted(a | b)[: syncmers.SKETCH]
+        assert abs(r.near - (1.0 if sorted(a)[:64] == sorted(b)[:64] else len(set(low) & a & b) / max(1, len(low)))) < 1e-9
+        assert r.aligned == len({tuple(x) for x in r.a} & {tuple(x) for x in r.b})
+        words = texts[r.i].split()
+        if len(words) >= 5:
+            h = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).toPandas().iloc[:, 0].tolist()
+            assert [x.pos for x in r.a if x.pos >= 0] == [i for i in range(len(h) - 4) if min(h[i], h[i + 4]) <= min(h[i + 1 : i + 4])]
+        if 2 <= r.i <= 3 or r.i >= 5:
+            assert r.near > 0.05, texts[r.i]
