@@ -83,7 +83,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges: columns a and b of one orderable type; no nulls. Returns (node, component) for each node that has an
@@ -91,8 +91,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 50)
     executor costs one round at most, and only per-key minima are aggregated: no adjacency list is ever gathered.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    mark = None
-    for _ in range(max_rounds):
+    mark, done = None, now.isEmpty()
+    while not done:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -102,11 +102,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 50)
         seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = after
-        if seen == mark:
-            break
-        mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        mark, done = seen, seen == mark
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

@@ -139,9 +139,11 @@ def shuffled_shards(mix: DataFrame, path: str) -> None:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """shards lists the output shards of the copies of a row's block, in the order of copies; the last may be partial or, beyond the border, empty."""
+    """shards has the output shards of the copies of a row's block as digits to base 32, each shard plus one, the first copy's
+    lowest; the last copy may be partial or, beyond the border, empty."""
     made = mix_plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return made.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
+    digits = F.aggregate(F.reverse("shards"), F.lit(0).cast("long"), lambda n, x: n * 32 + x + 1)
+    return made.select("doc_id", "size", "source_size", "target", "taken", digits.alias("shards"))
 
 
 OP8_SQL = r"""
@@ -171,7 +173,7 @@ n{i + 1} AS (SELECT source, block, copy, shard * 2 + (r > ceil(c / 2.0))::INT AS
 qs AS (SELECT source, shard, count(*) AS quota FROM n4 GROUP BY ALL),
 rs AS (SELECT source, shard, sum(quota) OVER w - quota AS low, sum(quota) OVER w AS high FROM qs WINDOW w AS (PARTITION BY source ORDER BY shard ROWS UNBOUNDED PRECEDING)),
 ps AS (SELECT source, block, copy, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 17, block, copy)), block, copy) - 1 AS turn FROM n0),
-ds AS (SELECT ps.source, block, string_agg(shard, ',' ORDER BY copy) AS shards FROM ps JOIN rs ON ps.source IS NOT DISTINCT FROM rs.source AND turn >= low AND turn < high GROUP BY ALL)
-SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken, coalesce(shards, '') AS shards
+ds AS (SELECT ps.source, block, CAST(sum((shard + 1) * CAST(power(32, copy - 1) AS BIGINT)) AS BIGINT) AS shards FROM ps JOIN rs ON ps.source IS NOT DISTINCT FROM rs.source AND turn >= low AND turn < high GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken, coalesce(shards, 0) AS shards
 FROM c LEFT JOIN ds ON ds.source IS NOT DISTINCT FROM c.source AND ds.block = substr(k, 1, 2)
 """
