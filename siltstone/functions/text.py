@@ -66,12 +66,6 @@ def shingle_hash(shingle: Column) -> Column:
     return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10)
 
 
-def shingle_number(shingle: Column) -> Column:
-    """shingle_hash as a signed 64-bit number of the same bits."""
-    pairs = F.regexp_extract_all(F.substring(F.md5(shingle), 1, 16), F.lit(".."), F.lit(0))
-    return F.conv(F.array_join(F.reverse(pairs), ""), 16, -10).cast("long")
-
-
 def match_normal(text: Column) -> Column:
     return F.lower(strip(F.translate(text, MATCH_DELETED, "")))
 
