@@ -5,8 +5,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,30 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.sources.shared import discard as _deleted
+from siltstone.sources.shared import written
 
 PRIME = (1 << 61) - 1
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """df by way of Parquet in the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-        sc.setCheckpointDir(base)
-    path = f"{base}/near-dup-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._siltstone_path = path
-    return out
-
-
-def _deleted(df: DataFrame) -> None:
-    """Delete what _stored wrote, when nothing will read it again."""
-    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    return written(df, "near-dup")
 
 
 def _times(a: np.ndarray, b: int) -> np.ndarray:

@@ -600,3 +600,4 @@ def trace_lookup(spark, sf_dir):
 from siltstone.plans import probes as _probes  # noqa: E402, F401  (these add their queries; they need the names above)
 from siltstone.plans import corpus as _corpus  # noqa: E402, F401
 from siltstone.plans import review as _review  # noqa: E402, F401
+from siltstone.plans import words as _words  # noqa: E402, F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from html import unescape
 
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
+from siltstone.sources.shared import fresh_path as shared_path  # noqa: F401
+
 #: Columns of a trace file (fixed values).
 TRACE_FIELDS = ["eval_num", "seq_num", "prompt", "target_answer", "model_output", "matching_score", "result", "category", "checkpoint_name", "timestamp"]
 
@@ -63,18 +63,6 @@ def write_json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") ->
     rows.write.mode(mode).json(path)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where all runs in one process."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-        sc.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def trace_files(spark: SparkSession, path: str) -> DataFrame:
     """Trace CSVs below path: ten fields as text, missing ones empty, numbers 0 where they can't be read, with file, modified
     and batch, from 0 for the newest file by (modified, file).

@@ -210,27 +210,3 @@ def test_trace_record_fallbacks(spark):
     d = spark.createDataFrame([("", "q", "bad"), ("p", "q", "0.123456")], "prompt string, question string, score string")
     got = [tuple(r) for r in traces.normalised(d, {"prompt": ["prompt", "question"], "matching_score": ["score"], "notes": ["none"]}).collect()]
     assert got == [("q", 0.0, ""), ("p", 0.1235, "")]
-
-
-KNOWN = frozenset("the this other differ suffer effect effective refer identify organization support defend set see able model define classification science genetics releasing corticotropin interventricular memory long".split())
-
-
-def test_broken_by_hyphens(spark):
-    texts = ["sup- ported", "defend-\n\ning", "Organi-\nzation", "INTERVENTRICU-\nLAR", "corticotropin-\nreleasing", "corticotropin - releasing", "long -memory", "GABA- ergic", "well-known", "a - b", "aa - bb - cc", "", None]
-    want = ["supported", "defending", "Organization", "INTERVENTRICULAR", "corticotropin-releasing", "corticotropin-releasing", "long-memory", "GABA-ergic", "well-known", "a - b", "aa-bb-cc", "", ""]
-    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
-    assert [r[0] for r in d.select(cleaning.without_breaks(KNOWN)(F.col("t"))).collect()] == want
-
-
-def test_broken_by_spaces(spark):
-    texts = ["Th e brain", "th is is a test.", "The results diff er.", "(diff er), they", "identifi able", "see ing", "sett ing", "neuro science", "opto genetics", "a ble", "T he", "EFF ECT", "  one", "x   y\nsuff er", "o th er", "re fer red", "", None]
-    want = ["The brain", "this is a test.", "The results differ.", "(differ), they", "identifiable", "seeing", "setting", "neuroscience", "optogenetics", "a ble", "T he", "EFFECT", "  one", "x y\nsuffer", "other", "referred", "", ""]
-    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
-    assert [r[0] for r in d.select(cleaning.joined_words(KNOWN)(F.col("t"))).collect()] == want
-
-
-def test_word_list_is_bounded(monkeypatch):
-    monkeypatch.setattr(cleaning, "MOST_WORDS", 2)
-    for make in (cleaning.without_breaks, cleaning.joined_words):
-        with pytest.raises(ValueError, match="at most"):
-            make(KNOWN)
