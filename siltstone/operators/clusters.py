@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import discard, written
+
+from .reports import ranked
 from .retrieval import dot, normalised
 
 
@@ -31,19 +34,40 @@ def merge_pairs(centres: DataFrame, threshold: float) -> DataFrame:
 
 
 def merge_map(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cluster_id, root): pairs taken in order (a, b), each joining the later root to the earlier. Clusters are few."""
-    root = {r[0]: r[0] for r in clusters.select("cluster_id").distinct().collect()}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in sorted((r["a"], r["b"]) for r in pairs.collect()):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return clusters.sparkSession.createDataFrame([(k, find(k)) for k in root], "cluster_id int, root int")
+    """(cluster_id, root, new_id): which cluster takes each one in, and the roots' numbers from 0 in the order of their ids.
+
+    pairs: (a, b), a < b, of similar centroids. By ascending id, a cluster that no earlier root is similar to is a root and takes in all later
+    ones similar to it that are not yet taken: merging compares the centroids of roots, so likeness is not passed on. In rounds: who has no
+    smaller open neighbour is a root, its later neighbours are members, and both leave with their pairs. A member's root is
+    its smallest neighbour that is one. Each round is written; rounds are as many as the longest chain of waiting clusters.
+    """
+    known = written(pairs.select("a", "b").distinct(), "merge-pairs")
+    open_pairs, members = known, None
+    while not open_pairs.isEmpty():
+        heads = open_pairs.select("a").distinct().join(open_pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        taken = written(open_pairs.join(heads, "a", "left_semi").select("b").distinct(), "merge-members")
+        left = open_pairs.join(heads, "a", "left_anti").join(taken, "b", "left_anti").join(taken.select(F.col("b").alias("a")), "a", "left_anti")
+        before, open_pairs = open_pairs, written(left.select("a", "b"), "merge-open")
+        if before is not known:
+            discard(before)
+        members = taken if members is None else members.union(taken)
+    each = clusters.select("cluster_id").distinct()
+    if members is None:
+        joined = each.select("cluster_id", F.col("cluster_id").alias("root"))
+    else:
+        roots = each.join(members.select(F.col("b").alias("cluster_id")), "cluster_id", "left_anti")
+        near = known.join(roots.select(F.col("cluster_id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("cluster_id")).agg(F.min("a").alias("root"))
+        joined = each.join(near, "cluster_id", "left").select("cluster_id", F.coalesce("root", "cluster_id").alias("root"))
+    joined = written(joined, "merge-roots")
+    dense = ranked(joined.select("root").distinct(), "root").select("root", F.col("__rank").cast("int").alias("new_id"))
+    return joined.join(dense, "root").select("cluster_id", "root", "new_id")
+
+
+def merged(points: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """points (id, cluster_id, vector) with new_id, clusters with similar centroids being merged; noise (-1) stays noise."""
+    centres = written(centroids(points), "centroids")
+    new = merge_map(merge_pairs(centres, threshold), centres).select("cluster_id", "new_id")
+    return points.join(new, "cluster_id", "left").withColumn("new_id", F.coalesce("new_id", F.lit(-1)))
 
 
 def label(cluster_id: Column) -> Column:

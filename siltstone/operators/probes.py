@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import chunks
+from siltstone.sources.shared import discard, written
 
 
 def group_accuracy(rows: DataFrame, group: str, hit: Column) -> DataFrame:
@@ -47,6 +48,38 @@ def profile(calls: DataFrame, name: str, seconds: str) -> DataFrame:
     return joined.select(name, "calls", F.round("total", 4).alias("total"), F.round(F.col("total") / F.col("calls"), 4).alias("mean"), F.round(F.when(F.col("whole") > 0, 100 * F.col("total") / F.col("whole")).otherwise(0.0), 4).alias("percent"))
 
 
+def profile_tree(calls: DataFrame, least: float = 0.0) -> DataFrame:
+    """(path, depth, name, calls, total, mean, percent) of calls (id, parent, name, seconds), collapsed by the names on their way from
+    the root (path, an array); percent is the share of the parent's total, at the root of the roots' sum.
+
+    Paths under ``least`` percent go with all below them, unless their parent took no time. A call without seconds goes with all that it called.
+    Levels are joined one after the other, each written, as many as calls are deep; levels only hold paths, not calls, once summed.
+    """
+    timed = calls.where("seconds is not null").select("id", "parent", "name", "seconds")
+    level, levels = written(timed.where("parent is null").select("id", F.array("name").alias("path"), "seconds"), "calls"), []
+    while not level.isEmpty():
+        levels.append(written(level.groupBy("path").agg(F.count(F.lit(1)).alias("calls"), F.sum("seconds").alias("total")), "paths"))
+        below = timed.join(level.select(F.col("id").alias("parent"), "path"), "parent")
+        before, level = level, written(below.select("id", F.concat("path", F.array("name")).alias("path"), "seconds"), "calls")
+        discard(before)
+    kept = []
+    for depth, each in enumerate(levels):
+        if depth:
+            up = kept[-1].select(F.col("path").alias("up"), F.col("total").alias("whole"))
+            met = each.withColumn("up", F.slice("path", 1, depth)).join(up, "up")
+        else:
+            met = each.crossJoin(F.broadcast(each.agg(F.sum("total").alias("whole"))))  # one row
+        percent = F.when(F.col("whole") > 0, 100.0 * F.col("total") / F.col("whole")).otherwise(0.0)
+        met = met.select("path", F.lit(depth).alias("depth"), "calls", "total", "whole", percent.alias("percent"))
+        kept.append(met.where((F.col("whole") == 0) | (F.col("percent") >= least)))
+    if not kept:
+        kept = [timed.limit(0).select(F.array("name").alias("path"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("calls"), F.col("seconds").alias("total"), F.col("seconds").alias("whole"), F.lit(0.0).alias("percent"))]
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    return out.select("path", "depth", F.element_at("path", -1).alias("name"), "calls", "total", F.round(F.col("total") / F.col("calls"), 4).alias("mean"), F.round("percent", 4).alias("percent"))
+
+
 def failed_gates(qa: Column, plateau: Column, cloze: Column, concept: Column, thresholds: tuple[float, float, float] = (0.6, 0.5, 0.5)) -> Column:
     """Names of the enabled gates that do not hold; a disabled gate is a null column."""
     checks = [("qa", qa < thresholds[0]), ("plateau", ~plateau), ("cloze", cloze < thresholds[1]), ("concept", concept < thresholds[2])]

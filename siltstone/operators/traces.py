@@ -39,15 +39,15 @@ def normalised(rows: DataFrame, fallbacks: dict[str, list[str]]) -> DataFrame:
     return rows.select(*out)
 
 
-def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
-    """store with new merged in by run, checkpoint and seq_num.
+def upsert(store: DataFrame, new: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """store with new merged in by run, checkpoint and seq_num, or other keys.
 
     New data win, but a category set by hand (not null, empty, Pass or Fail) and notes that are not empty stay, and
     so do checkpoint_name and ts of rows already there. Of several new rows with one key the last by ``batch`` wins.
     """
-    last = new.withColumn("rank", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.desc("batch")))).where("rank = 1")
+    last = new.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))).where("rank = 1")
     s = store.select(*[F.col(c).alias(f"s_{c}") for c in store.columns], F.lit(True).alias("there"))
-    met = s.join(last, [s[f"s_{k}"] == last[k] for k in KEYS], "full_outer")
+    met = s.join(last, [s[f"s_{k}"] == last[k] for k in keys], "full_outer")
     hand = F.col("s_error_category").isNotNull() & ~F.col("s_error_category").isin("", "Pass", "Fail")
     out = []
     for c in store.columns:

@@ -601,3 +601,4 @@ from siltstone.plans import probes as _probes  # noqa: E402, F401  (these add th
 from siltstone.plans import corpus as _corpus  # noqa: E402, F401
 from siltstone.plans import review as _review  # noqa: E402, F401
 from siltstone.plans import words as _words  # noqa: E402, F401
+from siltstone.plans import stores as _stores  # noqa: E402, F401

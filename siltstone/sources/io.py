@@ -127,19 +127,10 @@ def with_cached_vectors(chunks: DataFrame, cache: DataFrame, embed: Callable[[Co
     return met.withColumn("vector", F.coalesce("__known", embed(F.col(text)))).drop("__known")
 
 
-def write_traces(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("run_id", "probe", "eval").csv(path)
-
-
 def append_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_store(store: DataFrame, path: str) -> None:
-    """The trace store as Parquet by probe; only the partitions written are replaced."""
-    store.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("probe").parquet(path)
-
-
 @F.pandas_udf(D.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """All named and numeric entities resolved, for which Spark has no table."""
@@ -149,5 +140,5 @@ def unescaped(text: pd.Series) -> pd.Series:
 def html_text(html: str = "html"):
     """Plain text of an HTML column: scripts and styles cut, tags to spaces, entities decoded. Null: empty."""
     t = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    t = F.regexp_replace(t, r"(?s)<(?=[a-zA-Z/!?])[^>]*>", " ")
     return F.trim(F.regexp_replace(unescaped(t), r"[\s\u00a0]+", " "))

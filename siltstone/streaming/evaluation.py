@@ -1,13 +1,103 @@
-"""Structured Streaming forms: evaluation triggers by tokens, and windowed counts with late data."""
+"""Structured Streaming forms: evaluation triggers and gate decisions by tokens, and windowed counts with late data."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from siltstone.operators import gates
 from siltstone.operators.gates import trigger_stream
 
-__all__ = ["trigger_stream", "windowed_counts"]
+__all__ = ["EvaluationLoop", "decided", "evaluations", "trigger_stream", "windowed_counts"]
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+OUTPUT = "run long, at timestamp, kind string, tokens long, slow boolean, perplexity double, gain double, plateau boolean, qa double, cloze double"
+
+
+class EvaluationLoop(StatefulProcessor):
+    """Of one run: when it is evaluated, what is measured then, and whether it has come to rest.
+
+    Steps add tokens. An evaluation is due when the tokens since the last one reach ``interval``; the slow probe is measured with it
+    if the tokens since its own last time reach ``slow_interval``, and else keeps its value. gain is the fall of the perplexity in percent since
+    the last evaluation, plateau says that the last ``window`` gains all lie below ``threshold``. After ``idle_ms`` of event time without a step
+    a timer tells that the run is idle. State is a value (tokens, marks, the slow probe's value), and a list of the last perplexities.
+    """
+
+    def __init__(self, interval: int, slow_interval: int, threshold: float = 2.0, window: int = 2, idle_ms: int | None = None):
+        self.interval, self.slow_interval, self.threshold, self.window, self.idle_ms = interval, slow_interval, threshold, window, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.marks = handle.getValueState("marks", "tokens long, evaluated long, slow long, cloze double")
+        self.past = handle.getListState("past", "perplexity double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        steps = pd.concat(list(rows)).sort_values(["at", "seq"])
+        tokens, evaluated, slow, cloze = self.marks.get() if self.marks.exists() else (0, 0, 0, None)
+        past = [p for (p,) in self.past.get()]
+        out = []
+        for at, n, perplexity, qa, probe in zip(steps["at"], steps["tokens"], steps["perplexity"], steps["qa"], steps["cloze"]):
+            tokens += 0 if pd.isna(n) else int(n)
+            if tokens - evaluated < self.interval:
+                continue
+            evaluated = tokens
+            is_slow = tokens - slow >= self.slow_interval
+            if is_slow:
+                slow, cloze = tokens, cloze if pd.isna(probe) else float(probe)
+            gain = None if not past else (past[-1] - perplexity) / past[-1] * 100 if past[-1] > 0 else 0.0
+            past = [*past, float(perplexity)][-self.window - 1 :]
+            gains = [(a - b) / a * 100 if a > 0 else 0.0 for a, b in zip(past, past[1:])]
+            rests = len(gains) >= self.window and max(gains[-self.window :]) < self.threshold
+            out.append((key[0], at, "evaluation", tokens, is_slow, perplexity, gain, rests, None if pd.isna(qa) else qa, cloze))
+        self.marks.update((tokens, evaluated, slow, cloze))
+        if past:
+            self.past.put([(p,) for p in past])
+        if self.idle_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(steps["at"].max().timestamp() * 1000) + self.idle_ms)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tokens, _, _, cloze = self.marks.get()
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        yield self._rows([(key[0], at, "idle", tokens, False, None, None, None, None, cloze)])
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        names = [x.split()[0] for x in OUTPUT.split(", ")]
+        d = pd.DataFrame(rows, columns=names)
+        for c in ("perplexity", "gain", "qa", "cloze"):
+            d[c] = d[c].astype("float64")
+        d["at"] = pd.to_datetime(d["at"])
+        return d
+
+    def close(self) -> None:
+        pass
+
+
+def evaluations(steps: DataFrame, interval: int, slow_interval: int, threshold: float = 2.0, window: int = 2, idle: str | None = None, idle_ms: int = 0) -> DataFrame:
+    """Evaluations of training steps (run, seq, at, tokens, perplexity, qa, cloze) by EvaluationLoop, of a table or a stream.
+
+    Steps of a run are taken by at, then seq, within a batch of the stream; they have to come in order from batch to batch. idle, a
+    watermark's delay, turns the timer on for streams. The session's state store becomes RocksDB, which the state types need.
+    """
+    steps.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    steps.sparkSession.streams.active  # noqa: B018  (the manager brings up what places state, which a table needs too)
+    timed = idle is not None and steps.isStreaming
+    loop = EvaluationLoop(interval, slow_interval, threshold, window, idle_ms if timed else None)
+    d = steps.select("run", "seq", "at", "tokens", "perplexity", "qa", "cloze")
+    d = d.withWatermark("at", idle) if timed else d
+    return d.groupBy("run").transformWithStateInPandas(loop, OUTPUT, "append", "eventTime" if timed else "none")
+
+
+def decided(rows: DataFrame, corpus: int, cap: int, thresholds: tuple[float, float, float] = (0.6, 0.5, 0.5)) -> DataFrame:
+    """evaluations with the gate decision of each; idle rows have none."""
+    said = gates.decision(F.col("qa"), F.col("plateau"), F.col("cloze"), F.lit(None).cast("double"), F.col("tokens"), F.lit(corpus), F.lit(cap), thresholds)
+    return rows.withColumn("decision", F.when(F.col("kind") == "evaluation", said))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", at: str = "ts") -> DataFrame:
