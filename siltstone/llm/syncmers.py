@@ -69,8 +69,10 @@ def anchors(text: Column, k: int = K) -> Column:
 
 
 def aligned(a: Column, b: Column) -> Column:
-    """How many anchors two texts share at the same places."""
-    return F.size(F.array_intersect(a, b)).cast("long")
+    """How many anchors two texts share at the same places. Place and hash are met as one number, as arrays of structs would be compared
+    pair by pair."""
+    one = lambda found: F.transform(found, lambda x: F.xxhash64(x["pos"], x["hash"]))
+    return F.size(F.array_intersect(one(a), one(b))).cast("long")
 
 
 def sketch(found: Column, size: int = SKETCH) -> Column:
