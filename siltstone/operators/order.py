@@ -1,4 +1,4 @@
-"""Order-dependent operators without a global window: rows are ordered in buckets, and bucket totals are added up."""
+"""Order-dependent operators without a global window: rows are ordered in range partitions, whose totals are added up."""
 
 from __future__ import annotations
 
@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import written
 
-def running_total(df: DataFrame, seq: str, value: Column, out: str, width: int = 4096) -> DataFrame:
-    """df with the sum of value over rows up to this one in the order of seq (a whole number, unique).
 
-    One row a bucket of ``width`` numbers is ordered in one place; rows only inside their bucket.
+def running_total(df: DataFrame, seq: str, value: Column, out: str) -> DataFrame:
+    """df with the sum of value over rows up to this one in the order of seq (unique; rows without one go).
+
+    Numbers and values alone are range-partitioned and written, as the borders of ranges may move if a lost part is made again; sums of
+    the partitions, a row each, are added up in one place, and rows are met by seq. How the numbers are spread doesn't matter.
     """
-    d = df.select("*", F.floor(F.col(seq) / width).alias("__bucket"), value.alias("__value"))
-    totals = d.groupBy("__bucket").agg(F.sum("__value").alias("__sum"))
-    before = totals.select("__bucket", (F.sum("__sum").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"))
-    inside = F.sum("__value").over(W.partitionBy("__bucket").orderBy(seq).rowsBetween(W.unboundedPreceding, 0))
-    return d.join(before, "__bucket").withColumn(out, F.col("__before") + inside).drop("__bucket", "__value", "__before")
+    narrow = df.select(F.col(seq).alias("__seq"), value.alias("__value")).where("__seq is not null")
+    d = written(narrow.repartitionByRange(F.col("__seq")).withColumn("__part", F.spark_partition_id()), "ordered")
+    sums = d.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+    before = sums.select("__part", (F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"))
+    inside = F.sum("__value").over(W.partitionBy("__part").orderBy("__seq").rowsBetween(W.unboundedPreceding, 0))
+    total = d.withColumn("__inside", inside).join(F.broadcast(before), "__part").select("__seq", (F.col("__before") + F.col("__inside")).alias(out))
+    return df.join(total, F.col(seq) == F.col("__seq")).drop("__seq")
 
 
 def reindex(df: DataFrame, seq: str, template: str = "domain_doc_%06d") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as T
 from siltstone.operators import clusters, probes
-from siltstone.plans.registry import CENTRES, STORE, query, store, table
-from siltstone.sources import kept_store
+from siltstone import sql
+from siltstone.plans.registry import _CHUNKS, CENTRES, STORE, TURNS, W, docs, query, store, table, turns
+from siltstone.sources import io, kept_store
 from siltstone.sources.shared import fresh_path, written
 from siltstone.streaming import evaluation
 
@@ -115,3 +117,31 @@ def trace_directory_sync(spark, sf_dir):
     kept_store.write_trace_files(again, folder, legacy=True)
     kept_store.sync(spark, folder, kept, marks).awaitTermination()
     return kept_store.load(spark, kept).select("probe", "run_id", "checkpoint", "seq_num", "model_output", "result", "error_category", "notes", "checkpoint_name")
+
+
+@query("WITH " + _CHUNKS.format(300, 30))
+def sql_windows(spark, sf_dir):
+    """Overlapping windows by a table function in SQL."""
+    sql.register(spark)
+    docs(spark, sf_dir).where("text is not null").createOrReplaceTempView("silt_documents")
+    return spark.sql("SELECT d.doc_id, w.chunk_no, w.text, w.token_count FROM silt_documents d, LATERAL silt_windows(d.text, 300, 30) w")
+
+
+@query(f"""WITH {TURNS}, w AS (SELECT *, list_distinct(regexp_extract_all(lower(prompt), {W})) AS p, list_distinct(regexp_extract_all(lower(answer), {W})) AS q FROM t WHERE prompt IS NOT NULL AND answer IS NOT NULL)
+SELECT conv_id, turn, CAST(len(regexp_extract_all(answer, '{T.TOKEN}')) AS BIGINT) AS tokens, round(CASE WHEN len(p) = 0 OR len(q) = 0 THEN 0.0 ELSE len(list_intersect(p, q))::DOUBLE / len(list_distinct(list_concat(p, q))) END, 6) AS alike FROM w""")
+def sql_turns(spark, sf_dir):
+    """Token counts and likeness of turns by named functions in SQL, which become plain expressions of the plan."""
+    sql.register(spark)
+    turns(spark, sf_dir).createOrReplaceTempView("silt_turns")
+    return spark.sql("SELECT conv_id, turn, silt_token_count(answer) AS tokens, round(silt_jaccard(array_distinct(silt_words(prompt)), array_distinct(silt_words(answer))), 6) AS alike FROM silt_turns WHERE prompt IS NOT NULL AND answer IS NOT NULL")
+
+
+@query("""WITH l AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS k FROM labels), r AS (SELECT *, count(*) FILTER (WHERE doc_id % 3 <> 0) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS n FROM l)
+SELECT doc_id, quality, (SELECT count(*) FROM r WHERE doc_id % 3 = 0 AND n < 50) AS skipped FROM r WHERE doc_id % 3 <> 0 AND n <= 50""")
+def first_items(spark, sf_dir):
+    """The first fifty readable lines of files in order, which is what is asked; every third line is broken, and later files are not read."""
+    path = fresh_path(spark, "items")
+    lines = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "{broken").otherwise(F.to_json(F.struct("doc_id", "quality"))).alias("value"))
+    lines.repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    rows, skipped, _ = io.first_items(spark, path, "doc_id long, quality long", 50)
+    return rows.select("doc_id", "quality", F.lit(skipped).cast("long").alias("skipped"))

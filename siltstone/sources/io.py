@@ -59,6 +59,36 @@ def json_lines_counted(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return rows.where(~bad).select("r.*").drop("_corrupt"), rows.agg(F.count_if(bad).alias("skipped"))
 
 
+def first_items(spark: SparkSession, path: str, schema: str, most: int) -> tuple[DataFrame, int, int]:
+    """(the first ``most`` readable rows of a folder's JSON lines, how many unreadable lines stand before the last of them, files read).
+
+    Lines are in the order of file names, then of places in the file. Files are read in groups of 1, 2, 4 and so on until there are
+    enough rows, so what is read depends on most and not on the folder. Of a group only counts reach the driver.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    files = sorted(f.getPath().toString() for f in listed if f.isFile() and f.getPath().getName()[0] not in "._")
+    read = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    order = ["_file", "_block", "_line"]
+    out, got, skipped, at, step = None, 0, 0, 0, 1
+    while got < most and at < len(files):
+        lines = spark.read.text(files[at : at + step]).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+        rows = lines.where(F.trim("value") != "").select(read.alias("r"), *order)
+        rows = rows.withColumn("_ok", F.col("r").isNotNull() & F.col("r._corrupt").isNull())
+        n = rows.agg(F.count_if("_ok").alias("ok"), F.count_if(~F.col("_ok")).alias("bad")).first()
+        some = rows.where("_ok")
+        if got + n.ok > most:
+            some = some.orderBy(*order).limit(most - got)
+            last = some.orderBy(*[F.desc(c) for c in order]).select(*order).first()
+            skipped += rows.where(~F.col("_ok") & (F.struct(*order) < F.struct(F.lit(last[0]).alias("_file"), *[F.lit(v).cast("long").alias(c) for c, v in zip(order[1:], last[1:])]))).count()
+        else:
+            skipped += n.bad
+        some = some.select("r.*").drop("_corrupt")
+        out = some if out is None else out.unionByName(some)
+        got, at, step = got + n.ok, at + step, step * 2
+    return (spark.createDataFrame([], schema) if out is None else out), skipped, min(at, len(files))
+
+
 def write_json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
