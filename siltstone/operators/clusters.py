@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,14 +117,70 @@ def gates(clusters: DataFrame, noise: Column, min_clusters: int = 20, warn_clust
     return clusters.agg((n < min_clusters).alias("too_few"), ((n >= min_clusters) & (n < warn_clusters)).alias("few"), F.coalesce(F.max("n") / F.sum("n") > 0.40, F.lit(False)).alias("lopsided")).withColumn("noisy", noise > 0.30)
 
 
+def manifest(members: DataFrame, caps: DataFrame, min_clusters: int = 20, few_clusters: int = 50, most_noise: float = 0.30, most_share: float = 0.40) -> DataFrame:
+    """One row over members (id, cluster_id, split; -1 is noise) and reweight_caps: status, docs, noise_docs, noise_fraction, clusters,
+    largest_fraction, capped_low, capped_high, warnings and failures, by name and what was found.
+
+    Failures: too few clusters, and clusters of three members or more without a validation member, whose number is told. Counts
+    are made by cluster before they are added up.
+    """
+    each = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "val").alias("val"))
+    real = F.col("cluster_id") >= 0
+    one = each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("noise_docs"), F.count_if(real).alias("clusters"),
+        F.max(F.when(real, F.col("n"))).alias("largest"), F.count_if(real & (F.col("n") >= 3) & (F.col("val") == 0)).alias("without_val"),
+    )
+    capped = caps.where("cap is not null").agg(F.count_if(F.col("cap") > F.col("n")).alias("capped_low"), F.count_if(F.col("cap") < F.col("n")).alias("capped_high"))
+    active = F.col("docs") - F.col("noise_docs")
+    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
+    d = one.crossJoin(capped).withColumns({"noise_fraction": F.round(share(F.col("noise_docs"), F.col("docs")), 4), "largest_fraction": F.round(share(F.coalesce("largest", F.lit(0)), active), 4)})  # one row each
+    said = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
+    warnings = [F.when((F.col("clusters") >= min_clusters) & (F.col("clusters") < few_clusters), said("few clusters", F.col("clusters"))), F.when(share(F.col("noise_docs"), F.col("docs")) > most_noise, said("noise fraction", F.col("noise_fraction"))), F.when(share(F.coalesce("largest", F.lit(0)), active) > most_share, said("largest fraction", F.col("largest_fraction")))]
+    failures = [F.when(F.col("clusters") < min_clusters, said("too few clusters", F.col("clusters"))), F.when(F.col("without_val") > 0, said("clusters without validation members", F.col("without_val")))]
+    d = d.withColumns({"warnings": F.array_compact(F.array(*warnings)), "failures": F.array_compact(F.array(*failures))})
+    return d.select(F.when(F.size("failures") == 0, "complete").otherwise("failed").alias("status"), "docs", "noise_docs", "noise_fraction", "clusters", "largest_fraction", "capped_low", "capped_high", "warnings", "failures")
+
+
+def checked(row: DataFrame) -> DataFrame:
+    """A manifest, once it has no failures; else an error that names them."""
+    failures = row.select("failures").first().failures
+    if failures:
+        raise ValueError("clusters fail their gates: " + "; ".join(failures))
+    return row
+
+
+def reduced(points: DataFrame, method: str, k: int, embed: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, dict]:
+    """((id, reduced), what was done) of (id, vector) by pca, none or passthrough, or umap, a plug-in embed(points, k) that gives (id, reduced).
+
+    umap falls back to pca, and tells why, without a plug-in or for no more points than k or three. All vectors come out with length one.
+    """
+    if method not in ("umap", "pca", "none", "passthrough"):
+        raise ValueError(f"unknown reduction: {method}; known are umap, pca, none and passthrough")
+    told = {"method": method, "fallback": None}
+    if method in ("none", "passthrough"):
+        return points.select("id", normalised(F.col("vector"), 1e-12).alias("reduced")), told | {"method": "passthrough"}
+    n = points.count()
+    if method == "umap":
+        if embed is not None and n > max(k, 3):
+            out = embed(points, k)
+            return out.select("id", normalised(F.col("reduced"), 1e-12).alias("reduced")), told | {"dimension": k}
+        told |= {"method": "pca", "fallback": "no plug-in for umap" if embed is None else f"{n} points are too few for {k} components"}
+    if n <= 1:
+        return points.select("id", normalised(F.col("vector"), 1e-12).alias("reduced")), told
+    return pca(points, min(k, n)), told | {"dimension": min(k, n)}
+
+
 def pca(points: DataFrame, k: int) -> DataFrame:
-    """(id, reduced): normalised vectors, centred, on their first k principal axes, normalised again."""
+    """(id, reduced): normalised vectors, centred, on their first k principal axes (as many as there are dimensions at most), normalised again."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    width = points.select(F.size("vector").alias("n")).first()
+    if width is None:
+        return points.select("id", F.col("vector").cast("array<double>").alias("reduced"))
     v = points.select("id", array_to_vector(normalised(F.col("vector"))).alias("raw"))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(v).transform(v)
-    out = PCA(k=k, inputCol="centred", outputCol="out").fit(centred).transform(centred)
+    out = PCA(k=min(k, width.n), inputCol="centred", outputCol="out").fit(centred).transform(centred)
     return out.select("id", normalised(vector_to_array("out"), 1e-12).alias("reduced"))
 
 

@@ -76,7 +76,8 @@ def candidate_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 5, permut
     distinct = _stored(sets.join(firsts, ["set", "seq"], "left_semi").dropDuplicates(["seq"]))
     # Signatures cost most, so documents are spread over all cores whatever their files.
     spread = distinct.select(F.col("seq").alias("id"), "shingles").repartition("id")
-    banded = spread.mapInPandas(_bands(permutations, bands, seed), "id long, band int, key binary")
+    # Stored, as both sides of the join read it.
+    banded = _stored(spread.mapInPandas(_bands(permutations, bands, seed), "id long, band int, key binary"))
     a, b = banded.select(F.col("id").alias("a"), "band", "key"), banded.select(F.col("id").alias("b"), "band", "key")
     pairs = a.join(b, ["band", "key"]).where("a < b").select("a", "b").distinct()
     return distinct, verified(pairs, distinct, threshold)
@@ -99,11 +100,11 @@ def exact_pairs(docs: DataFrame, threshold: float = 0.85, n: int = 5) -> DataFra
     sets = _stored(docs.select("seq", numbers.alias("shingles")).where(F.size("shingles") > 0))
     each = sets.select("seq", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy("seq").orderBy("n", "h"))
-    prefix = each.join(counts, "h").where("n > 1").withColumn("rank", rank)
-    # Shingles of one document alone come before all others and are never shared.
-    alone = each.join(counts, "h").where("n = 1").groupBy("seq").agg(F.count(F.lit(1)).alias("alone"))
-    prefix = prefix.join(alone, "seq", "left").where(F.col("rank") + F.coalesce("alone", F.lit(0)) <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    # Only shared shingles are joined on; those of one document alone come before all others, and their number is what is missing to its size.
+    shared = each.join(counts.where("n > 1"), "h")
+    ordered = shared.groupBy("seq").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "h"))).alias("shared"))
+    room = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.size("shared"))
+    prefix = _stored(ordered.where(room > 0).select("seq", "size", F.explode(F.slice("shared", F.lit(1), room.cast("int"))).alias("x")).select("seq", "size", "x.h"))
     p, q = prefix.select(F.col("seq").alias("a"), "h", F.col("size").alias("m")), prefix.select(F.col("seq").alias("b"), "h", F.col("size").alias("k"))
     pairs = p.join(q, "h").where((F.col("a") < F.col("b")) & (F.col("m") >= F.col("k") * threshold - 1e-9) & (F.col("k") >= F.col("m") * threshold - 1e-9)).select("a", "b").distinct()
     return verified(pairs, sets, threshold)

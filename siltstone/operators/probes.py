@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,6 +119,21 @@ def prompt(question: Column, passages: Column, most: int = 5, context: str = "Co
     return F.when(none, tail).otherwise(F.concat(F.lit(f"{context}\n"), numbered_passages(passages, most), F.lit("\n\n"), tail))
 
 
+def cloze_prompt(text: Column, examples: Sequence[tuple[str, str]] = (), blank: str = "______", ask: str = "Sentence:", answer: str = "Answer:") -> Column:
+    """A sentence with a blank to be filled, after solved examples: three underscores become the blank, and a text without one gets it
+    at its end. Null is an empty text. The wording is a parameter."""
+    plain = F.coalesce(text, F.lit(""))
+    filled = F.replace(plain, F.lit("___"), F.lit(blank))
+    filled = F.when(filled.contains(blank), filled).otherwise(F.concat(filled, F.lit(f" {blank}")))
+    solved = "".join(f"{ask} {s}\n{answer} {a}\n\n" for s, a in examples)
+    return F.concat(F.lit(f"{solved}{ask} "), filled, F.lit(f"\n{answer}"))
+
+
+def plain_prompt(text: Column, ask: str = "Prompt:", answer: str = "Answer:") -> Column:
+    """A text and a place for its answer, as concept probes (ask "Prompt:") and questions (ask "Question:") are put."""
+    return F.concat(F.lit(f"{ask} "), F.coalesce(text, F.lit("")), F.lit(f"\n{answer}"))
+
+
 def term_hit(output: Column, term: Column) -> Column:
     """Whether the term stands in the output as whole words, both being normalised for matching; false for no term."""
     out, word = T.match_normal(output), T.match_normal(term)

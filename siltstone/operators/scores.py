@@ -105,16 +105,6 @@ def benchmark_gates(records: DataFrame, scores: DataFrame, expected: int) -> Dat
     return c.crossJoin(r)
 
 
-def judge_scores(response: Column) -> Column:
-    """struct(answer, reasoning, citation, hallucination) of a judge's JSON: thinking and fences are cut away first;
-    reasoning is the sum of three parts over 15 (3 each by default), the others default to 0, 1 and 0."""
-    t = F.regexp_replace(F.coalesce(response, F.lit("")), r"(?s)<think>.*?</think>|```(?:json)?", "")
-    body = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    number = lambda path, default: F.coalesce(F.expr("1d") * F.try_to_number(F.get_json_object(body, path), F.lit("99.9999")).cast("double"), F.lit(default))
-    parts = [number(f"$.reasoning.{k}", 3.0) for k in ("logic", "depth", "clarity")]
-    return F.when(body != "", F.struct(number("$.answer", 0.0).alias("answer"), (sum(parts[1:], parts[0]) / 15).alias("reasoning"), number("$.citation", 1.0).alias("citation"), number("$.hallucination", 0.0).alias("hallucination")))
-
-
 def pmi_choice(conditional: Column, unconditional: Column) -> Column:
     """Position (from 0) of the choice whose mean conditional log-probability gains most over the unconditional."""
     gain = F.zip_with(conditional, unconditional, lambda a, b: a - b)

@@ -157,11 +157,13 @@ def jsonl_round_trip(spark, sf_dir):
     return io.with_ids(io.json_lines(spark, path, "id string, text string, source string")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
 
 
-@query("SELECT 2 AS skipped, (SELECT count(*) FROM benchmark) AS n")
+@query("SELECT count(*) FILTER (WHERE item_id % 7 = 0) AS skipped, count(*) FILTER (WHERE item_id % 7 <> 0) AS n FROM benchmark")
 def jsonl_skipped(spark, sf_dir):
     path = io.shared_path(spark, "jsonl")
     b = table(spark, sf_dir, "benchmark")
-    lines = b.select(F.to_json(F.struct("item_id", "text")).alias("value")).union(spark.createDataFrame([("{broken",), ("",), ('["',)], "value string"))
+    # Every seventh line is cut off, and a blank one follows every fifth.
+    whole = F.to_json(F.struct("item_id", "text"))
+    lines = b.select(F.when(F.col("item_id") % 7 == 0, F.left(whole, F.lit(14))).otherwise(whole).alias("value")).union(b.where("item_id % 5 = 0").select(F.lit(" ").alias("value")))
     lines.write.text(path)
     rows, skipped = io.json_lines_counted(spark, path, "item_id long, text string")
     return skipped.crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))  # one row each
@@ -245,7 +247,9 @@ def reranked_topk(spark, sf_dir):
     return retrieval.reranked(retrieval.bm25(items, asked, 10), items, asked, 3).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("""SELECT mode, gate, threshold::DOUBLE AS threshold FROM (VALUES ('dense', 'score', 0.65), ('sparse', 'cosine', 0.65), ('hybrid', 'cosine', 0.65), ('hybrid, reranked', 'score', 0.30), ('hybrid, reranked at 0.5', 'score', 0.5)) v(mode, gate, threshold)""")
+@query("""SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'score' WHEN 1 THEN 'cosine' WHEN 2 THEN 'cosine' ELSE 'score' END AS gate, CASE vec_id % 5 WHEN 3 THEN 0.30::DOUBLE WHEN 4 THEN 0.5::DOUBLE ELSE 0.65::DOUBLE END AS threshold FROM embeddings""")
 def gate_table(spark, sf_dir):
-    rows = [(m, *retrieval.gate(m)) for m in ("dense", "sparse", "hybrid")] + [("hybrid, reranked", *retrieval.gate("hybrid", reranked=True)), ("hybrid, reranked at 0.5", *retrieval.gate("hybrid", 0.5, True))]
-    return spark.createDataFrame(rows, "mode string, gate string, threshold double")
+    """What gates the hits of each vector, by a mode of search that its id names."""
+    kinds = [retrieval.gate(m) for m in ("dense", "sparse", "hybrid")] + [retrieval.gate("hybrid", reranked=True), retrieval.gate("hybrid", 0.5, True)]
+    at = (F.col("vec_id") % 5 + 1).cast("int")
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), at).alias(n) for i, n in enumerate(("gate", "threshold"))])

@@ -141,29 +141,31 @@ def choice_answers(spark, sf_dir):
 
 # --- Trace store -------------------------------------------------------------------------------------------------
 
-_PATHS = [
-    ("logs/traces/20260814_081654/QA/eval_0001.csv", "qa", "20260814_081654", 1, "eval_0001"),
-    ("logs/traces/20260814_081654/cloze_eval_0012.csv", "cloze", "20260814_081654", 12, "eval_0012"),
-    ("logs/traces/concept/20260814_081654_eval_0003.csv", "concept", "20260814_081654", 3, "eval_0003"),
-    ("logs/traces/qa/final.csv", "qa", "default_run", 0, "final"),
-    ("x/run7/concept_eval_last.csv", "concept", "run7", 0, "eval_last"),
-    ("other/base_eval_5.csv", "qa", "base", 5, "eval_5"),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(str(p) for p in _PATHS) + ") v(path, probe, run_id, checkpoint, checkpoint_name)")
+@query("""WITH o AS (SELECT o_orderkey AS k, '2026' || lpad(CAST(o_custkey % 12 + 1 AS VARCHAR), 2, '0') || '01_000000' AS run, CASE o_orderkey % 3 WHEN 0 THEN 'cloze' WHEN 1 THEN 'qa' ELSE 'concept' END AS probe, o_orderkey % 10000 AS n FROM orders),
+p AS (SELECT *, CASE k % 5 WHEN 0 THEN 'logs/traces/' || run || '/' || upper(probe) || '/eval_' || lpad(CAST(n AS VARCHAR), 4, '0') || '.csv' WHEN 1 THEN 'logs/traces/' || run || '/' || probe || '_eval_' || n || '.csv' WHEN 2 THEN 'logs/traces/' || probe || '/' || run || '_eval_' || n || '.csv' WHEN 3 THEN 'logs/traces/qa/final' || n || '.csv' ELSE 'other/base' || n || '_eval_last.csv' END AS path FROM o)
+SELECT path, CASE WHEN k % 5 >= 3 THEN 'qa' ELSE probe END AS probe, CASE k % 5 WHEN 3 THEN 'default_run' WHEN 4 THEN 'base' || n ELSE run END AS run_id, CAST(CASE WHEN k % 5 >= 3 THEN 0 ELSE n END AS INTEGER) AS checkpoint, CASE k % 5 WHEN 0 THEN 'eval_' || lpad(CAST(n AS VARCHAR), 4, '0') WHEN 3 THEN 'final' || n WHEN 4 THEN 'eval_last' ELSE 'eval_' || n END AS checkpoint_name FROM p""")
 def trace_paths(spark, sf_dir):
-    d = spark.createDataFrame([(p[0],) for p in _PATHS], "path string")
+    """Trace files' paths in every layout, made of orders, and what they tell."""
+    k = F.col("o_orderkey")
+    n = k % 10_000
+    run = F.concat(F.lit("2026"), F.lpad((F.col("o_custkey") % 12 + 1).cast("string"), 2, "0"), F.lit("01_000000"))
+    probe = F.when(k % 3 == 0, "cloze").when(k % 3 == 1, "qa").otherwise("concept")
+    wide = F.lpad(n.cast("string"), 4, "0")
+    made = F.when(k % 5 == 0, F.concat(F.lit("logs/traces/"), run, F.lit("/"), F.upper(probe), F.lit("/eval_"), wide)).when(k % 5 == 1, F.concat(F.lit("logs/traces/"), run, F.lit("/"), probe, F.lit("_eval_"), n)).when(k % 5 == 2, F.concat(F.lit("logs/traces/"), probe, F.lit("/"), run, F.lit("_eval_"), n)).when(k % 5 == 3, F.concat(F.lit("logs/traces/qa/final"), n)).otherwise(F.concat(F.lit("other/base"), n, F.lit("_eval_last")))
+    d = table(spark, sf_dir, "orders").select(F.concat(made, F.lit(".csv")).alias("path"))
     return d.select("path", trace_store.path_metadata(F.col("path")).alias("m")).select("path", "m.*")
 
 
-_NAMES = [("Cloze Probe", "cloze", "cloze"), ("QA", "qa", "qa"), (" concept probe ", "concept", "concept"), ("Retrieval Check", "retrieval_check", "concept"), ("Other Kind", "other_kind", "other kind")]
+_KINDS = [("Cloze Probe", "cloze", "cloze"), ("QA", "qa", "qa"), (" concept probe ", "concept", "concept"), ("Retrieval Check", "retrieval_check", "concept"), ("Other Kind", "other_kind", "other kind")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(p) for p in _NAMES) + ") v(name, category, probe)")
+@query("SELECT o_orderkey, " + ", ".join(f"CASE {' '.join(f'WHEN o_orderkey % 6 = {i} THEN {chr(39)}{x[at]}{chr(39)}' for i, x in enumerate(_KINDS))} ELSE {other} END AS {name}" for at, name, other in ((1, "category", "replace(lower(o_orderpriority), ' ', '_')"), (2, "probe", "lower(o_orderpriority)"))) + " FROM orders")
 def trace_names(spark, sf_dir):
-    d = spark.createDataFrame([(p[0],) for p in _NAMES], "name string")
-    return d.select("name", trace_store.category_name(F.col("name")).alias("category"), trace_store.probe_name(F.col("name")).alias("probe"))
+    """Names of categories and probes, some of them orders' own priorities."""
+    name = F.col("o_orderpriority")
+    for i, (said, _, _) in enumerate(_KINDS):
+        name = F.when(F.col("o_orderkey") % 6 == i, F.lit(said)).otherwise(name)
+    return table(spark, sf_dir, "orders").select("o_orderkey", trace_store.category_name(name).alias("category"), trace_store.probe_name(name).alias("probe"))
 
 
 _RAW = """w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE CAST(o_orderkey AS VARCHAR) END AS seq, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey % 7 / 4.0 AS VARCHAR) END AS score,
@@ -304,13 +306,13 @@ def type_maps(spark, sf_dir):
     return reports.as_map(n, "event_type", "n", "user_id").select("user_id", F.array_join(F.array_sort(entries), ";").alias("counts"))
 
 
-_MODELS = [("models/smollm2-135m", "HF/SmolLM2-135M", 10, 10, True), ("a/base", "a/base-chat", 10, 10, True), ("a/base", "b/other", 10, 10, False), ("a/base", "a/base", 10, 11, False), ("a/base", "a/base", 0, 11, True), ("", "a", 1, 1, False)]
-
-
-@query("SELECT a, b, ok FROM (VALUES " + ", ".join(str(m) for m in _MODELS) + ") v(a, b, x, y, ok)")
+@query("""WITH m AS (SELECT s_suppkey AS k, 'models/' || lower(s_name) AS a, CASE s_suppkey % 4 WHEN 0 THEN 'HF/' || upper(s_name) WHEN 1 THEN 'x/' || s_name || '-chat' WHEN 2 THEN 'x/other' ELSE '' END AS b, s_suppkey % 3 AS vocab FROM supplier)
+SELECT k, k % 4 < 2 AND (vocab = 0 OR vocab = 1) AS ok FROM m""")
 def model_checks(spark, sf_dir):
-    d = spark.createDataFrame([m[:4] for m in _MODELS], "a string, b string, x int, y int")
-    return d.select("a", "b", reports.model_matches(F.col("a"), F.col("b"), F.col("x"), F.col("y")).alias("ok"))
+    """Models named after suppliers against names of the same, a longer, another and no model, and three sizes of vocabulary."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    other = F.when(k % 4 == 0, F.concat(F.lit("HF/"), F.upper(name))).when(k % 4 == 1, F.concat(F.lit("x/"), name, F.lit("-chat"))).when(k % 4 == 2, "x/other").otherwise("")
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), reports.model_matches(F.concat(F.lit("models/"), F.lower(name)), other, (k % 3).cast("int"), F.lit(1)).alias("ok"))
 
 
 @query(r"""WITH s AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark)
@@ -358,9 +360,11 @@ def status_lines(spark, sf_dir):
     return d.select("eval_id", reports.status_text(F.col("run"), F.col("eval_id"), F.when(F.size("failed") == 0, "CONVERGED").otherwise("CONTINUE"), F.col("failed")).alias("line"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN text IS NULL THEN 0 ELSE len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')), lambda w: true)) END AS n FROM documents WHERE doc_id % 4 <> 0""".replace("\\\\", "\\"))
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents), c AS (SELECT doc_id, CASE WHEN w IS NULL THEN [] ELSE w[:doc_id % 4] END AS c, doc_id % 5 - 1 AS i FROM w)
+SELECT doc_id, CAST(len(c) AS BIGINT) AS n FROM c WHERE doc_id % 7 <> 0 AND i >= 0 AND i < len(c)""")
 def valid_items(spark, sf_dir):
-    """Question items made of documents: those without a question, choices or a valid index go."""
+    """Question items whose choices are the first words of a document: those without a question, choices or an index among them go."""
     i = F.col("doc_id")
-    d = docs(spark, sf_dir).select("doc_id", "text", F.when(i % 4 != 0, F.lit("q")).alias("question"), F.array(F.lit("a"), F.lit("b")).alias("choices"), F.lit(1).alias("answer_idx"))
-    return probes.valid_questions(d).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.array_distinct(T.words(F.col("text"))))).cast("long").alias("n"))
+    choices = F.slice(F.array_distinct(T.words(F.col("text"))), F.lit(1), (i % 4).cast("int"))
+    d = docs(spark, sf_dir).select("doc_id", F.when(i % 7 != 0, F.lit("q")).alias("question"), choices.alias("choices"), (i % 5 - 1).cast("int").alias("answer_idx"))
+    return probes.valid_questions(d).select("doc_id", F.size("choices").cast("long").alias("n"))

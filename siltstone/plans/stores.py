@@ -145,3 +145,36 @@ def first_items(spark, sf_dir):
     lines.repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
     rows, skipped, _ = io.first_items(spark, path, "doc_id long, quality long", 50)
     return rows.select("doc_id", "quality", F.lit(skipped).cast("long").alias("skipped"))
+
+
+@query("""WITH b AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text || ' ___ end' ELSE text END AS t FROM benchmark)
+SELECT item_id, 'Sentence: One and one is ______.' || chr(10) || 'Answer: two' || chr(10) || chr(10) || 'Sentence: ' || CASE WHEN contains(replace(coalesce(t, ''), '___', '______'), '______') THEN replace(coalesce(t, ''), '___', '______') ELSE coalesce(t, '') || ' ______' END || chr(10) || 'Answer:' AS cloze,
+'Prompt: ' || coalesce(t, '') || chr(10) || 'Answer:' AS concept, 'Question: ' || coalesce(t, '') || chr(10) || 'Answer:' AS qa FROM b""")
+def probe_prompts(spark, sf_dir):
+    t = F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit(" ___ end"))).otherwise(F.col("text"))
+    solved = [("One and one is ______.", "two")]
+    return table(spark, sf_dir, "benchmark").select("item_id", probes.cloze_prompt(t, solved).alias("cloze"), probes.plain_prompt(t).alias("concept"), probes.plain_prompt(t, "Question:").alias("qa"))
+
+
+@query("""WITH m AS (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN -1 ELSE label END AS c FROM embeddings), k AS (SELECT c, count(*) AS n FROM m WHERE c >= 0 GROUP BY c), t AS (SELECT sum(n) AS total, count(*) AS clusters, max(n) AS largest FROM k),
+p AS (SELECT count(*) FILTER (WHERE n::DOUBLE / total < 0.09 AND ceil(total * 0.09::DOUBLE) > n) AS low, count(*) FILTER (WHERE n::DOUBLE / total > 0.105 AND floor(total * 0.105::DOUBLE) < n) AS high FROM k, t),
+v AS (SELECT count(*) AS w FROM k WHERE n >= 3 AND c % 4 = 3), a AS (SELECT count(*) AS docs, count(*) FILTER (WHERE c < 0) AS noise FROM m)
+SELECT CASE WHEN clusters < 5 OR w > 0 THEN 'failed' ELSE 'complete' END AS status, docs, noise AS noise_docs, round(noise::DOUBLE / docs, 4) AS noise_fraction, clusters, round(largest::DOUBLE / (docs - noise), 4) AS largest_fraction, low AS capped_low, high AS capped_high,
+concat_ws('; ', CASE WHEN clusters >= 5 AND clusters < 50 THEN 'few clusters: ' || clusters END, CASE WHEN noise::DOUBLE / docs > 0.3 THEN 'noise fraction: ' || round(noise::DOUBLE / docs, 4) END, CASE WHEN largest::DOUBLE / (docs - noise) > 0.4 THEN 'largest fraction: ' || round(largest::DOUBLE / (docs - noise), 4) END) AS warnings,
+concat_ws('; ', CASE WHEN clusters < 5 THEN 'too few clusters: ' || clusters END, CASE WHEN w > 0 THEN 'clusters without validation members: ' || w END) AS failures FROM a, t, p, v""")
+def cluster_manifest(spark, sf_dir):
+    """Gates over all vectors, every ninth being noise; the clusters 3 and 7 have no validation members, which fails."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 9 == 0, -1).otherwise(F.col("label")).alias("cluster_id"))
+    sized = e.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    split = clusters.split_members(e.where("cluster_id >= 0")).withColumn("split", F.when((F.col("cluster_id") % 4 == 3) & (F.col("split") == "val"), "dev").otherwise(F.col("split")))
+    members = split.unionByName(e.where("cluster_id < 0").withColumn("split", F.lit("dropped")))
+    m = clusters.manifest(members, clusters.reweight_caps(sized, 0.09, 0.105), 5)
+    return m.withColumns({c: F.array_join(c, "; ") for c in ("warnings", "failures")})
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS length, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS first FROM embeddings")
+def reduce_passthrough(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    out, _ = clusters.reduced(e, "passthrough", 8)
+    square = F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x)
+    return out.select("id", F.round(square, 4).alias("length"), F.round(F.get("reduced", F.lit(0)), 4).alias("first"))

@@ -189,3 +189,51 @@ def test_timer_tells_idle_runs(spark, tmp_path):
         q.awaitTermination(120)
     got = [(r.run, r.kind, r.tokens, r.decision) for r in spark.read.parquet(target).orderBy("run", "at").collect()]
     assert (1, "idle", 60, None) in got and (2, "evaluation", 120, "CONTINUE") in got and sum(r[0] == 1 for r in got) == 1
+
+
+def test_reductions(spark):
+    rnd = random.Random(4)
+    p = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(9)], "id int, vector array<double>")
+    size = lambda d: {len(r.reduced) for r in d.collect()}
+    out, told = clusters.reduced(p, "umap", 4)
+    assert size(out) == {4} and told["method"] == "pca" and "plug-in" in told["fallback"]
+    out, told = clusters.reduced(p.limit(3), "pca", 5)
+    assert size(out) == {3} and told["dimension"] == 3
+    out, told = clusters.reduced(p, "pca", 50)
+    assert size(out) == {6}
+    asked = []
+
+    def embed(points, k):
+        asked.append(k)
+        return points.select("id", F.slice("vector", 1, k).alias("reduced"))
+
+    out, told = clusters.reduced(p, "umap", 2, embed)
+    assert asked == [2] and size(out) == {2} and told == {"method": "umap", "fallback": None, "dimension": 2}
+    assert clusters.reduced(p.limit(3), "umap", 2, embed)[1]["method"] == "pca" and asked == [2]
+    for few in (p.limit(1), p.limit(0), p):
+        out, told = clusters.reduced(few, "none", 2)
+        assert told["method"] == "passthrough" and all(abs(sum(x * x for x in r.reduced) - 1) < 1e-9 for r in out.collect())
+    assert clusters.reduced(p.limit(1), "pca", 2)[0].count() == 1 and clusters.reduced(p.limit(0), "pca", 2)[0].collect() == []
+    with pytest.raises(ValueError, match="tsne"):
+        clusters.reduced(p, "tsne", 2)
+
+
+def test_manifest_raises_what_fails(spark):
+    m = spark.createDataFrame([(i, i % 3, "val" if i < 3 else "dev") for i in range(12)] + [(20, -1, "dropped"), (21, 7, "dev")], "id int, cluster_id int, split string")
+    caps = clusters.reweight_caps(m.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("n")))
+    good = clusters.manifest(m, caps, 2)
+    assert clusters.checked(good).first().status == "complete"
+    with pytest.raises(ValueError, match="too few clusters: 4"):
+        clusters.checked(clusters.manifest(m, caps, 5))
+    with pytest.raises(ValueError, match="validation members: 3"):
+        clusters.checked(clusters.manifest(m.withColumn("split", F.lit("dev")), caps, 2))
+    empty = clusters.manifest(m.limit(0), caps.limit(0), 1).first()
+    assert (empty.status, empty.docs, empty.noise_fraction, empty.failures) == ("failed", 0, 0.0, ["too few clusters: 0"])
+
+
+def test_probe_prompts(spark):
+    d = spark.createDataFrame([("A ___ b.",), ("no blank",), ("six ______",), (None,)], "t string")
+    got = [r[0] for r in d.select(probes.cloze_prompt(F.col("t"), [("S ______", "x")])).collect()]
+    head = "Sentence: S ______\nAnswer: x\n\nSentence: "
+    assert got == [head + x + "\nAnswer:" for x in ("A ______ b.", "no blank ______", "six ____________", " ______")]
+    assert [r[0] for r in d.select(probes.plain_prompt(F.col("t"), "Question:")).collect()][1::2] == ["Question: no blank\nAnswer:", "Question: \nAnswer:"]
