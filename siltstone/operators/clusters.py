@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.sources.shared import discard, written
 
 from .reports import ranked
-from .retrieval import dot, normalised
+from .retrieval import QUERY_BLOCK, dot, normalised
+from .retrieval import _against as against
 
 
 def centroids(points: DataFrame) -> DataFrame:
@@ -22,11 +26,34 @@ def centroids(points: DataFrame) -> DataFrame:
 
 
 def nearest_centroid(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, cluster_id, score): of each point the centroid of largest cosine; ties go to the smaller cluster id."""
-    met = points.select("id", normalised(F.col("vector")).alias("v")).crossJoin(centres)
-    scored = met.select("id", "cluster_id", F.round(dot(F.col("v"), F.col("centroid")), 6).alias("score"))
-    best = scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("low"))).alias("m"))
-    return best.select("id", (-F.col("m.low")).alias("cluster_id"), F.col("m.score").alias("score"))
+    """(id, cluster_id, score): of each point the centroid of largest cosine; ties go to the smaller cluster id. Null vectors go.
+
+    Blocks of centroids, counted, are broadcast, and a batch of points is one matrix product; where there is more than one block, the
+    best of each meet by point.
+    """
+    kinds = [to_arrow_type(d.schema[c].dataType) for d, c in ((points, "id"), (centres, "cluster_id"))]
+
+    def work(block):
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = block.value
+            order = np.argsort(np.array(names), kind="stable")
+            names, matrix = np.array(names)[order], matrix[order]
+            for batch in batches:
+                if batch.num_rows:
+                    scores = np.round(matrix @ np.array(batch.column(1).to_pylist(), dtype=np.float64).T, 6)
+                    at = scores.argmax(axis=0)  # the first of equals, which has the smallest id
+                    yield pa.record_batch([batch.column(0).cast(kinds[0]), pa.array(names[at].tolist(), kinds[1]), pa.array(scores[at, np.arange(len(at))])], ["id", "cluster_id", "score"])
+
+        return best
+
+    schema = f"id {points.schema['id'].dataType.simpleString()}, cluster_id {centres.schema['cluster_id'].dataType.simpleString()}, score double"
+    asked = written(centres.select(F.col("cluster_id").alias("query_id"), F.col("centroid").alias("vector")), "centres")
+    one_block = asked.count() <= QUERY_BLOCK // 2
+    met = against(points.where("vector is not null").select(F.col("id").alias("chunk_id"), "vector"), asked, work, schema)
+    if one_block:
+        return met
+    top = met.groupBy("id").agg(F.max(F.struct("score", (-F.col("cluster_id")).alias("low"))).alias("m"))
+    return top.select("id", (-F.col("m.low")).alias("cluster_id"), F.col("m.score").alias("score"))
 
 
 def merge_pairs(centres: DataFrame, threshold: float) -> DataFrame:
