@@ -117,20 +117,37 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3,
     return unboxed(every.withColumn("taken", taken.cast("long")), docs.columns, "size", "source_size", "target", "shards", "part", "taken")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, **params) -> DataFrame:
-    """The mix itself: a row for each copy taken, with columns of docs, then shard and turn (the order in its shard).
-
-    A partial copy has its first ``part`` words, white space kept. Rows without words are never taken.
-    """
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, seed=seed, **params)
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, **params) -> DataFrame:
+    """(kept, text, shard, turn) of each copy taken: kept is a struct of all columns of docs but the text."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    known = docs.select(F.struct(F.lit(1).alias("one"), *others).alias("kept"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    plan = mix_plan(known, seed=seed, **params)
     plan = plan.select("*", F.posexplode("shards").alias("copy", "shard")).where("size > 0")
     last = (F.col("copy") == F.size("shards") - 1) & F.col("part").isNotNull()
     plan = plan.where(~last | (F.col("part") > 0))
     # The word count stands in the pattern, which is a constant, so the cut is made on the pieces instead.
-    head = F.array_join(F.slice(F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int")), "")
-    text = F.when(last & (F.col("part") < F.col("size")), head).otherwise(F.col(text_col))
-    turn = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"))
-    return plan.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "shard", turn.alias("turn"))
+    head = F.array_join(F.slice(F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int")), "")
+    text = F.when(last & (F.col("part") < F.col("size")), head).otherwise(F.col("text"))
+    return plan.select("kept", text.alias("text"), "shard", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")).alias("turn"))
+
+
+def _columns(docs: DataFrame, text_col: str, without: tuple[str, ...] = ()) -> list[Column]:
+    return [(F.col("text") if c == text_col else F.col("kept").getField(f"c{i}")).alias(c) for i, c in enumerate(docs.columns) if c.lower() not in without]
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **params) -> DataFrame:
+    """The mix itself: a row for each copy taken, with columns of docs, then shard and turn (the order in its shard), which take the
+    place of columns of docs so named.
+
+    A partial copy has its first ``part`` words, white space kept. Rows without words are never taken.
+    """
+    taken = _copies(docs, id_col, text_col, source_col, seed, **params)
+    return taken.select(*_columns(docs, text_col, ("shard", "turn")), "shard", "turn")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **params) -> DataFrame:
+    """The rows of mixed() with the columns of docs alone, whatever their names."""
+    return _copies(docs, id_col, text_col, source_col, seed, **params).select(_columns(docs, text_col))
 
 
 def shuffled_shards(mix: DataFrame, path: str) -> None:
