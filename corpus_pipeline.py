@@ -31,7 +31,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents left out, taken, cut short or repeated as the targets ask."""
-    return _counted(mixing.mixed(docs).select(docs.columns), docs)
+    return _counted(mixing.mix(docs), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
