@@ -36,7 +36,8 @@ def met(asked: DataFrame, table: DataFrame, key: str = "word") -> DataFrame:
 def looked_up(rows: DataFrame, asked: Column, table: DataFrame, out: str, stored: bool = False) -> DataFrame:
     """rows with ``out``, a map from those of the words ``asked`` (an array) that are in table (word, value) to their values.
 
-    Rows that ask the same share one answer, found under a digest of the words; rows that ask nothing are not shuffled. As rows are
+    Rows that ask the same share one answer, found under a digest of the words. What is found is broadcast
+    if it is small, by count; if not, rows are shuffled, but for those that ask nothing. As rows are
     read three times, they are written first, unless the caller has stored them.
     """
     d = rows.withColumn("__asked", F.array_sort(F.array_distinct(F.coalesce(asked, F.array().cast("array<string>")))))
@@ -44,9 +45,10 @@ def looked_up(rows: DataFrame, asked: Column, table: DataFrame, out: str, stored
     d = d.withColumn("__digest", F.md5(F.array_join("__asked", "\0")))
     some, none = d.where(F.size("__asked") > 0), d.where(F.size("__asked") == 0)
     pairs = some.select("__digest", "__asked").distinct().select("__digest", F.explode("__asked").alias("word"))
-    found = met(pairs, table).groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias(out))
-    kind = found.schema[out].dataType
-    empty = F.map_from_arrays(F.array(), F.array()).cast(kind)
+    found = written(met(pairs, table).groupBy("__digest").agg(F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias(out)), "found")
+    empty = F.map_from_arrays(F.array(), F.array()).cast(found.schema[out].dataType)
+    if (found.agg(F.sum(F.size(out))).first()[0] or 0) <= BROADCAST_ROWS:  # words found, so the rows needn't be shuffled
+        return d.join(F.broadcast(found), "__digest", "left").withColumn(out, F.coalesce(out, empty)).drop("__asked", "__digest")
     both = some.join(found, "__digest", "left").withColumn(out, F.coalesce(out, empty)).unionByName(none.withColumn(out, empty))
     return both.drop("__asked", "__digest")
 

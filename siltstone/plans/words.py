@@ -27,11 +27,11 @@ def _rare(spark, sf_dir, known):
 @query(f"""WITH RECURSIVE {LEXICON}, {RARE},
 ar AS (SELECT run, s AS start, s + k AS stop FROM rn, unnest(range(length(run))) a(s), unnest(range(1, least(20, length(run) - s) + 1)) b(k) JOIN lx ON word = substr(run, s + 1, k)),
 wy AS (SELECT run, 0::BIGINT AS pos, 0 AS k FROM rn UNION SELECT wy.run, ar.stop, k + 1 FROM wy JOIN ar ON ar.run = wy.run AND ar.start = wy.pos)
-SELECT rn.run, CAST(min(k) AS BIGINT) AS n_words FROM rn LEFT JOIN wy ON wy.run = rn.run AND pos = length(rn.run) GROUP BY rn.run""")
+SELECT rn.run, CAST(coalesce(min(k), 0) AS BIGINT) AS n_words FROM rn LEFT JOIN wy ON wy.run = rn.run AND pos = length(rn.run) GROUP BY rn.run""")
 def word_split_counts(spark, sf_dir):
-    """Rare words of the corpus and the fewest frequent ones that make them up, null if none do."""
+    """Rare words of the corpus and the fewest frequent ones that make them up, 0 if none do."""
     known = lexicon(spark, sf_dir)
-    return segments.best_splits(_rare(spark, sf_dir, known), known, "words").select("run", F.col("cost").alias("n_words"))
+    return segments.best_splits(_rare(spark, sf_dir, known), known, "words").select("run", F.coalesce("cost", F.lit(0)).cast("long").alias("n_words"))
 
 
 #: No SQL: the cheapest of all splits; a test holds it against a search of all of them.
