@@ -78,6 +78,10 @@ def ranked(rows: DataFrame, key: str) -> DataFrame:
     return d.withColumn("__inside", inside).join(before, "__part").withColumn("__rank", (F.col("__before") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__before")
 
 
+# Names of the actions, the most urgent first.
+ACTIONS = ["CORPUS_QUALITY_AUDIT", "INCREASE_MODEL_SIZE", "PROCEED_WITH_RISK_FLAG"]
+
+
 def risk_report(qa: Column, gain: Column, cloze: Column, concept: Column, qa_least: float = 0.6, qa_low: float = 0.4, gain_most: float = 2.0, cloze_least: float = 0.5, concept_least: float = 0.5) -> Column:
     """struct(failed array<string>, priority, action): each failed gate with its gap, and what to do first.
 
@@ -92,7 +96,7 @@ def risk_report(qa: Column, gain: Column, cloze: Column, concept: Column, qa_lea
     ]
     failed = F.filter(F.array(*fails), lambda x: x.isNotNull())
     priority = F.when(qa < qa_low, 1).when(qa < qa_least, 2).otherwise(3)
-    action = F.when(priority == 1, "CORPUS_QUALITY_AUDIT").when(priority == 2, "INCREASE_MODEL_SIZE").otherwise("PROCEED_WITH_RISK_FLAG")
+    action = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), priority)
     return F.struct(failed.alias("failed"), priority.alias("priority"), action.alias("action"))
 
 

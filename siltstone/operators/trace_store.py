@@ -107,6 +107,8 @@ def run_checkpoints(store: DataFrame, run_id: str | None = None) -> DataFrame:
     return g.select("run_id", traces.run_label(F.col("run_id")).alias("label"), "checkpoint", "checkpoint_name", "start", "n").orderBy(F.desc("run_id"), F.desc("checkpoint"), "checkpoint_name")
 
 
+# What a missing side shows.
+NO_BASE, NO_TARGET, NO_RESULT = "(No baseline available)", "(No checkpoint data)", "N/A"
 TEXTS = ("prompt", "target_answer", "model_output", "result", "category")
 
 
@@ -137,8 +139,8 @@ def compared(base: DataFrame, target: DataFrame, *more: str) -> DataFrame:
     either = lambda c: F.coalesce(F.when(no_target, F.col(f"{c}_base")).otherwise(F.col(f"{c}_target")), F.lit("")).alias(f"{c}_target")
     return m.select(
         *keys, shown("prompt"), shown("target_answer"), shown("category"),
-        put("model_output", "base", no_base, "(No baseline available)"), put("model_output", "target", no_target, "(No checkpoint data)"),
-        put("result", "base", no_base, "N/A"), put("result", "target", no_target, "N/A"),
+        put("model_output", "base", no_base, NO_BASE), put("model_output", "target", no_target, NO_TARGET),
+        put("result", "base", no_base, NO_RESULT), put("result", "target", no_target, NO_RESULT),
         "matching_score_base", "matching_score_target", either("error_category"), either("notes"),
         changed.alias("is_output_changed"), F.when(no_base | no_target, False).otherwise(before != after).alias("is_result_changed"), one_sided(status).alias("delta_status"),
     )
