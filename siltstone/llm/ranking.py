@@ -34,16 +34,16 @@ def prefix_sums(rows: DataFrame, keys: list[str], order: list[str], weight: str,
     that no join is needed. Null keys are equal to each other.
     """
     n = CHUNKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(n, *_ordered(keys), *_ordered(order)).withColumn("chunk", F.spark_partition_id()), name)
-    earlier = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    parts = ranged.groupBy(*keys, "chunk").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("c"))
-    carried = parts.select(*keys, "chunk", F.sum("w").over(earlier).alias("w"), F.sum("c").over(earlier).alias("c")).where("c > 0")
-    rest = [c for c in ranged.columns if c not in (*keys, "chunk")]
-    both = ranged.select(*keys, "chunk", F.lit(1).alias("own"), F.col(weight).cast("long").alias("w"), F.lit(1).cast("long").alias("c"), *rest)
-    both = both.unionByName(carried.withColumn("own", F.lit(0)), allowMissingColumns=True)
-    run = W.partitionBy(*keys, "chunk").orderBy("own", *_ordered(order)).rowsBetween(W.unboundedPreceding, 0)
-    both = both.select(*keys, *rest, "own", (F.sum("w").over(run) - F.col("w")).alias("before"), F.sum("c").over(run).alias("nth"))
-    return both.where("own = 1").drop("own")
+    ranged = written(rows.repartitionByRange(n, *_ordered(keys), *_ordered(order)).withColumn("_chunk", F.spark_partition_id()), name)
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranged.groupBy(*keys, "_chunk").agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_c"))
+    carried = parts.select(*keys, "_chunk", F.sum("_w").over(earlier).alias("_w"), F.sum("_c").over(earlier).alias("_c")).where("_c > 0")
+    rest = [c for c in ranged.columns if c not in (*keys, "_chunk")]
+    both = ranged.select(*keys, "_chunk", F.lit(1).alias("_own"), F.col(weight).cast("long").alias("_w"), F.lit(1).cast("long").alias("_c"), *rest)
+    both = both.unionByName(carried.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    run = W.partitionBy(*keys, "_chunk").orderBy("_own", *_ordered(order)).rowsBetween(W.unboundedPreceding, 0)
+    both = both.select(*keys, *rest, "_own", (F.sum("_w").over(run) - F.col("_w")).alias("before"), F.sum("_c").over(run).alias("nth"))
+    return both.where("_own = 1").drop("_own")
 
 
 def ranked_ties(rows: DataFrame, group: list[str], rank: list[str], ties: list[str], most: int = 5) -> DataFrame:
