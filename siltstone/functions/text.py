@@ -60,10 +60,14 @@ def shingles(text: Column, n: int = 5) -> Column:
     return let(words(text), cut)
 
 
+def shingle_hex(shingle: Column) -> Column:
+    """The first 8 bytes of the MD5 digest, the last of them first, as 16 hexadecimal digits."""
+    return F.array_join(F.reverse(F.regexp_extract_all(F.substring(F.md5(shingle), 1, 16), F.lit(".."), F.lit(0))), "")
+
+
 def shingle_hash(shingle: Column) -> Column:
     """The first 8 bytes of the MD5 digest as a little-endian unsigned number, in decimal digits."""
-    pairs = F.regexp_extract_all(F.substring(F.md5(shingle), 1, 16), F.lit(".."), F.lit(0))
-    return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10)
+    return F.conv(shingle_hex(shingle), 16, 10)
 
 
 def match_normal(text: Column) -> Column:

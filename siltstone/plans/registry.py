@@ -187,8 +187,11 @@ def shingle_counts(spark, sf_dir):
 @query(f"""WITH {SHINGLES}, e AS (SELECT doc_id, unnest(sh) AS shingle FROM s), m AS (SELECT doc_id, md5(shingle) AS m FROM e)
 SELECT doc_id, min(lpad(CAST(CAST('0x' || m[15:16] || m[13:14] || m[11:12] || m[9:10] || m[7:8] || m[5:6] || m[3:4] || m[1:2] AS UBIGINT) AS VARCHAR), 20, '0')) AS least FROM m GROUP BY doc_id""")
 def minhash_shingle_md5(spark, sf_dir):
-    each = docs(spark, sf_dir).select("doc_id", F.explode(T.shingles(F.col("text"))).alias("shingle"))
-    return each.groupBy("doc_id").agg(F.min(F.lpad(T.shingle_hash(F.col("shingle")), 20, "0")).alias("least"))
+    # The least of a text is found in its row, so that no shingle is shuffled or sorted; rows of one id share theirs. Hex digits, highest first,
+    # are in the order of the numbers. Texts without shingles go last of all, as a filter before would work out all digests twice.
+    least = F.array_min(F.transform(T.shingles(F.col("text")), T.shingle_hex))
+    each = docs(spark, sf_dir).select("doc_id", least.alias("least")).groupBy("doc_id").agg(F.min("least").alias("least"))
+    return each.where("least is not null").select("doc_id", F.lpad(F.conv("least", 16, 10), 20, "0").alias("least"))
 
 
 @query(f"""WITH {SHINGLES}, e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),

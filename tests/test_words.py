@@ -179,3 +179,25 @@ def test_long_line_is_filtered_in_linear_time(spark):
     d = _texts(spark, [line]).select(cleaning.without_furniture(F.col("text")).alias("t"))
     began = time.time()
     assert d.first().t == line and time.time() - began < 10
+
+
+def test_sieve_bounds_what_is_asked(spark):
+    """Of many neighbours only those that the words may join meet the table; a sieve never hides a word."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(300)]
+    held = repair.sieve(spark.createDataFrame([(w,) for w in [*words, None]], "word string"))
+    asked = repair._likely(held)
+    for w in words:
+        assert asked(w[:3], w[3:], w[3:]) == [w] and asked(w[:3], w[3:] + "ing", "") == [w + "ing"]
+    others = ["".join(rnd.choice("stuvwxyz") for _ in range(8)) for _ in range(2_000)]
+    assert sum(bool(asked(w[:4], w[4:], "")) for w in others) < 300
+    text = " ".join([*others, words[0][:3], words[0][3:]])
+    of = repair._asked(held)
+    row = _texts(spark, [text]).select(of(F.col("text"), F.lit(None).cast("array<int>")).alias("a")).first()
+    assert words[0] in row.a and len(row.a) < 300
+
+
+def test_later_passes_look_at_changed_lines(spark):
+    made = repair._rejoined(F.col("text"), F.array(F.lit("windmill")), F.lit(None).cast("array<int>"))
+    row = _texts(spark, ["a  b\nthe wind, mill\nThe wind mill."]).select(made.alias("m")).first()
+    assert row.m.text == "a b\nthe windmill,\nThe windmill." and row.m.open == [1, 2]
