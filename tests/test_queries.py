@@ -167,3 +167,9 @@ def test_dense_holds_little_of_a_large_batch():
     scores = np.round(queries @ items.T, 6)
     want = np.lexsort((np.broadcast_to(np.arange(5_000), scores.shape), -scores), axis=1)[:, :3]
     assert got.column(1).to_pylist() == want.ravel().tolist()
+
+
+def test_least_shingle_is_found_in_its_row(spark):
+    """No row is made of a shingle, which would then be sorted and shuffled."""
+    plan = registry.queries()["minhash_shingle_md5"](spark, DATA)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "xplode" not in plan
