@@ -196,8 +196,20 @@ def _likely(held: Broadcast) -> Callable[[str, str, str], list[str]]:
     return asked
 
 
+def _looked(lines: list[str], places) -> Iterator[tuple[int, set[int] | None]]:
+    """Numbers of the lines that are looked at, and the first words of the neighbours there (None: all), of places: a line's number times
+    2**31 and a word's in it, with both of whose neighbours it is looked at."""
+    if places is None:
+        yield from ((i, None) for i in range(len(lines)))
+        return
+    at: dict[int, set[int]] = {}
+    for place in map(int, places):
+        at.setdefault(place >> 31, set()).update(((place & 0x7FFFFFFF) - 1, place & 0x7FFFFFFF))
+    yield from at.items()
+
+
 def _asked(held: Broadcast) -> Callable[[Column, Column], Column]:
-    """Of a text and the numbers of its lines that are looked at (null: all), the words that have to be known of neighbours there and may be."""
+    """Of a text and the places of its words that are looked at (null: all), the words that have to be known of neighbours there and may be."""
 
     @F.pandas_udf(D.ArrayType(D.StringType()))
     def of(text: pd.Series, lines: pd.Series) -> pd.Series:
@@ -206,9 +218,9 @@ def _asked(held: Broadcast) -> Callable[[Column, Column], Column]:
         def one(t: str | None, some) -> list[str]:
             each = (t or "").split("\n")
             out: set[str] = set()
-            for line in each if some is None else (each[i] for i in some):
-                got = [pieces[w] for w in line.split()]
-                for (first, _, _), (_, second, alone) in zip(got, got[1:]):
+            for i, at in _looked(each, some):
+                got = [pieces[w] for w in each[i].split()]
+                for (first, _, _), (_, second, alone) in zip(got, got[1:]) if at is None else ((got[k], got[k + 1]) for k in at if 0 <= k < len(got) - 1):
                     if first and second:
                         out.update(asked(first, second, alone))
             return list(out)
@@ -224,36 +236,37 @@ def _cased(first: str, whole: str) -> str:
     return whole.upper() if is_upper(first) else whole[:1].upper() + whole[1:] if is_upper(first[:1]) else whole
 
 
-def _joined(words: list[str], known: Collection[str], pieces: _Pieces) -> list[str]:
-    """One pass over a line from the left: neighbours that belong together are one word, whose second piece is used up."""
+def _joined(words: list[str], known: Collection[str], pieces: _Pieces, looked: set[int] | None = None) -> tuple[list[str], list[int]]:
+    """One pass over a line from the left: neighbours that belong together are one word, whose second piece is used up. Also the places of
+    such words. looked has the first words of those neighbours that are looked at."""
     got = [pieces[w] for w in words]
     at = [i for i, ((a, _, _), (_, b, alone)) in enumerate(zip(got, got[1:])) if a and b and (a + b in known or a in _BEFORE and alone in known)]
-    out, i = [], 0
+    out, made, i = [], [], 0
     for hit in at:
-        if hit >= i:
+        if hit >= i and (looked is None or hit in looked):
             a, b = words[hit].strip(SIGNS), words[hit + 1].strip(SIGNS)
             out += [*words[i:hit], words[hit].replace(a, _cased(a, (a + b).lower())) + words[hit + 1].replace(b, "")]
+            made.append(len(out) - 1)
             i = hit + 2
-    return out + words[i:]
+    return out + words[i:], made
 
 
-@F.pandas_udf(D.StructType([D.StructField("text", D.StringType()), D.StructField("open", D.ArrayType(D.IntegerType()))]))
+@F.pandas_udf(D.StructType([D.StructField("text", D.StringType()), D.StructField("open", D.ArrayType(D.LongType()))]))
 def _rejoined(text: pd.Series, known: pd.Series, lines: pd.Series) -> pd.DataFrame:
-    """One pass: the text with neighbours joined that belong together, and the numbers of the lines that this changed. In lines it
-    leaves, the same neighbours stand as before, so that no later pass has to look at them."""
+    """One pass: the text with neighbours joined that belong together, and the places of the words made so. All other
+    neighbours stood side by side before, so that no later pass has to look at them."""
     out, pieces = [], _Pieces()
-    for t, some, at in zip(text, known, lines):
+    for t, some, places in zip(text, known, lines):
         if t is None:
             out.append((None, []))
             continue
         each, some, changed = t.split("\n"), frozenset(some), []
-        for i in range(len(each)) if at is None else at:
+        for i, at in _looked(each, places):
             words = each[i].split()
             if len(words) > 1:
-                made = _joined(words, some, pieces) if some else words
+                made, new = _joined(words, some, pieces, at) if some else (words, [])
                 each[i] = " ".join(made)
-                if len(made) < len(words):
-                    changed.append(i)
+                changed += [i << 31 | k for k in new]
         out.append(("\n".join(each), changed))
     return pd.DataFrame(out, columns=["text", "open"])
 
@@ -264,15 +277,15 @@ def joined_words(docs: DataFrame, words: DataFrame | Collection[str], text: str
     Two neighbours are joined if, without the signs around them, both are letters only, the first is neither a single
     capital nor in NEVER_FIRST, and the whole is known, itself or as an inflected form, or the first is in PREFIXES and
     the second known. Signs stay. Lines of two words or more have single spaces afterwards. Null texts are empty. Only what
-    passes a sieve of the words meets them in a join, and a later pass looks at the lines that the one before changed.
+    passes a sieve of the words meets them in a join, and a later pass looks at the words that the one before made.
     """
     known = word_table(words, docs)
     asked = _asked(sieve(known))
-    d = docs.withColumns({text: F.coalesce(F.col(text), F.lit("")), "__open": F.lit(None).cast("array<int>")})
+    d = docs.withColumns({text: F.coalesce(F.col(text), F.lit("")), "__open": F.lit(None).cast("array<long>")})
     for i in range(passes):
         # Rows that are not looked at again are handed to Python as nulls.
         looked = F.col("__open").isNull() | (F.size("__open") > 0)
-        d = judged(d, asked(F.when(looked, F.col(text)), F.when(looked, F.col("__open")).otherwise(F.array().cast("array<int>"))), known, "__judged")
+        d = judged(d, asked(F.when(looked, F.col(text)), F.when(looked, F.col("__open")).otherwise(F.array().cast("array<long>"))), known, "__judged")
         needed = F.lit(True) if i == 0 else F.size("__judged") > 0
         made = _rejoined(F.when(needed, F.col(text)), F.map_keys("__judged"), F.col("__open"))
         d = d.withColumn("__made", made).withColumns({text: F.coalesce("__made.text", text), "__open": F.col("__made.open")}).drop("__made", "__judged")
