@@ -47,6 +47,13 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.groupBy("type", "period", "ends", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted_alone(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(type, period, n): as counted(), whatever stands behind. Tokens are counted as they are, so that types are worked out once for each
+    different token, and these alone are shuffled; stored, as abbreviations() reads it twice."""
+    each = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return written(each.select(_type(F.col("t")).alias("type"), _period(F.col("t")).alias("period"), "n").where("type <> ''"), "tokens")
+
+
 def likelihood(n: Column, a: Column, b: Column, both: Column) -> Column:
     """-2 log lambda of two events in n trials: a, b and both of them occurring; none of the logarithms' zeros counts."""
     part = lambda k, m, p: F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(m - k > 0, (m - k) * F.log(1 - p)).otherwise(0.0)
@@ -55,7 +62,7 @@ def likelihood(n: Column, a: Column, b: Column, both: Column) -> Column:
 
 
 def abbreviations(found: DataFrame) -> DataFrame:
-    """(word, with_period, without, score), from counted(), of types with a letter that stand before a period: likelihood that the period belongs to
+    """(word, with_period, without, score), from counted() or counted_alone(), of types with a letter that stand before a period: likelihood that the period belongs to
     the type (against one in a hundred that it doesn't), lowered for letters, raised for inner periods, and lowered by each use without one."""
     of = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
     whole = found.agg(of(F.lit(True)).alias("n"), of(F.col("period")).alias("periods")).first()

@@ -119,7 +119,7 @@ al AS (SELECT count(*) AS n, count(*) FILTER (WHERE period) AS p FROM ty WHERE w
 s AS (SELECT k.*, p / n AS q, length(word) - len(regexp_extract_all(word, '\.')) AS letters FROM k, al)
 SELECT word, with_period, without, round(-2 * (with_period * ln(q) + without * ln(1 - q) - with_period * ln(0.99::DOUBLE) - without * ln(0.01::DOUBLE)) * exp(-letters::DOUBLE) * (length(word) - letters + 1) * pow(letters::DOUBLE, -without::DOUBLE), 4) AS score FROM s""")
 def abbreviation_scores(spark, sf_dir):
-    return sentences.abbreviations(sentences.counted(docs(spark, sf_dir)))
+    return sentences.abbreviations(sentences.counted_alone(docs(spark, sf_dir)))
 
 
 #: No SQL: boundaries depend on types by a trained table; a test holds them against cases of each kind.

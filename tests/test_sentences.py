@@ -49,6 +49,18 @@ def test_scores(spark):
     assert {"dr", "mr", "e.g", "i.e", "no"} <= short and not short & {"river", "stone", "window"}
 
 
+def test_scores_need_no_pairs(spark, tmp_path, monkeypatch):
+    """Scores of the query come of tokens alone, not of pairs of neighbours, and are the same."""
+    from siltstone.plans import registry
+
+    texts = _corpus() + [None, "", "..."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, sentences.abbreviations(sentences.counted(d)).collect()))
+    monkeypatch.setattr(sentences, "counted", None)
+    assert sorted(map(tuple, registry.queries()["abbreviation_scores"](spark, str(tmp_path)).collect())) == want and want
+
+
 def test_model_and_split(spark):
     d = spark.createDataFrame([(t,) for t in _corpus()], "text string")
     table = sentences.model(d)
