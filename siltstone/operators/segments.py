@@ -14,9 +14,10 @@ from siltstone.operators.lookup import looked_up, met, replaced
 LONGEST = 20
 CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
 SPACED = r"\b(?:[A-Z] ){3,}[A-Z]\b"
-RUNNING = r"(?i)\S*\.indd\s+[ivxlc\d]+\b"
+# A match begins where a run does or the match before ended, so that a run is not looked at again from each of its characters.
+RUNNING = r"(?i)(?:(?<!\S)|\G)\S*\.indd\s+[ivxlc\d]+\b"
 BROKEN_TH = r"\bTh ([a-z]+)\b"
-BROKEN_LIGATURE = r"\w*(?:fi|ff|fl) \w+"
+BROKEN_LIGATURE = r"(?:(?<!\w)|\G)\w*(?:fi|ff|fl) \w+"
 
 
 @F.pandas_udf(D.StructType([D.StructField("pieces", D.ArrayType(D.StringType())), D.StructField("cost", D.LongType())]))

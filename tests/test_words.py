@@ -201,3 +201,16 @@ def test_later_passes_look_at_words_made(spark):
     made = repair._rejoined(F.col("text"), F.array(F.lit("windmill")), F.lit(None).cast("array<long>"))
     row = _texts(spark, ["a  b\nthe wind, mill\nThe wind mill."]).select(made.alias("m")).first()
     assert row.m.text == "a b\nthe windmill,\nThe windmill." and row.m.open == [1 << 31 | 1, 2 << 31 | 1]
+
+
+def test_long_runs_hold_no_artifacts_in_linear_time(spark):
+    """Runs are looked at once; from each of their characters they would take hours. Matches are those of the plain patterns."""
+    pieces = ["a", ".indd", ".INDD ", "12", "x", " ", "fi ", "off", "\n", "b.indd iv", "fl", "-"]
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 25))) for _ in range(2_000)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = d.select("text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for p, n in ((segments.RUNNING, "r"), (segments.BROKEN_LIGATURE, "l"))]).collect()
+    for t, r, lig in found:
+        assert r == re.findall(r"(?ai)\S*\.indd\s+[ivxlc\d]+\b", t) and lig == re.findall(r"(?a)\w*(?:fi|ff|fl) \w+", t)
+    long = spark.createDataFrame([("ab" * 1_000_000,)], "text string")
+    assert tuple(long.select(segments.artifacts(F.col("text")).alias("a")).select("a.*").first()) == (0,) * 6
