@@ -89,3 +89,22 @@ def test_nothing_is_lost(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     for r in sentences.split(d, sentences.model(d)).select("text", F.array_join("sentences", " ").alias("s")).collect():
         assert r.s.split() == r.text.split()
+
+
+def test_counts_apart(spark, monkeypatch):
+    """Types, and pairs behind a final sign alone, are those of all pairs, whatever a task counts before it hands on; a model
+    that is too large to be held gives the same sentences."""
+    rnd = random.Random(4)
+    texts = _corpus() + ["".join(rnd.choice(["a", "B.", ".", "! ", " ", "\xa0", "(", ")”", "É", "1", ". ", "?  ", "Σ. "]) for _ in range(rnd.randint(0, 60))) for _ in range(200)] + [None, "", "..."]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    all_ = sentences.counted(d)
+    period = F.sum(F.when(F.col("period"), F.col("n")).otherwise(0))
+    rows = lambda x: sorted(map(repr, map(tuple, x.collect())))
+    want = rows(all_.groupBy("type").agg(F.sum("n"), period)), rows(all_.where("ends").groupBy("type", "after").agg(F.sum("n"), period))
+    monkeypatch.setattr(sentences, "COUNTED", 50)
+    assert tuple(map(rows, sentences.counted_apart(d))) == want
+    monkeypatch.setattr(sentences, "counted", None)
+    table = sentences.model(d)
+    held = {r.i: r.sentences for r in sentences.split(d, table).collect()}
+    monkeypatch.setattr(sentences, "BROADCAST_ROWS", 1)
+    assert {r.i: r.sentences for r in sentences.split(d, table).collect()} == held
