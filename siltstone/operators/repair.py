@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
@@ -88,12 +89,98 @@ def without_breaks(docs: DataFrame, words: DataFrame | Collection[str], text: st
 
     Broken over lines, or with space at either side of the hyphen, pieces become one word if that is known, itself or as an inflected form,
     and else stay joined by a bare hyphen, as do two known words of four letters or more on one line. Null texts are empty.
+
+    Gap by gap, what a sieve of the words takes for known is collected from all texts, and a join with the table tells where it is wrong, so
+    that a task which holds the sieve and its errors knows what the table does. If they are more than MOST_ERRORS, each text is
+    given the words that it asks for.
     """
-    known = word_table(words, docs)
+    known = word_table(words, docs).where("word is not null").distinct()
     d = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    for gap, keeps in GAPS:
-        d = _over_gap(d, known, text, _PIECE[0] + gap + _PIECE[1], keeps)
-    return d
+    held, errors = sieve(known), []
+    for _ in GAPS:
+        taken = d.select(text).mapInArrow(_taken(held, list(errors)), "word string").distinct()
+        wrong = taken.join(known, "word", "left_anti").limit(MOST_ERRORS + 1).toArrow()
+        if wrong.num_rows > MOST_ERRORS:
+            for gap, keeps in GAPS:
+                d = _over_gap(d, known, text, _PIECE[0] + gap + _PIECE[1], keeps)
+            return d
+        errors.append(docs.sparkSession.sparkContext.broadcast(frozenset(wrong.column(0).to_pylist())))
+    return d.withColumn(text, _unbroken(held, errors)(F.col(text)))
+
+
+#: Errors of a sieve that a task holds at most.
+MOST_ERRORS = 1_000_000
+#: GAPS in plain Python, whose white space is _SPACE; a piece never gives back letters, as no gap and no edge of a word begins with one.
+_BREAKS = [(re.compile(rf"(?<!\w)([a-zA-Z]{{2,}}+){gap}([a-zA-Z]{{2,}}+)(?!\w)"), keeps) for gap, keeps in ((r"-\s*\n\s*", False), (r"\s+-\s*", True), (r"\s*-\s+", True))]
+
+
+def _mending(pattern: re.Pattern, keeps: bool, held: Broadcast, errors: Broadcast) -> Callable[[str], str]:
+    """Of a text, with the breaks of one gap mended by a sieve and its errors."""
+    (mask, bits), wrong = held.value, errors.value
+    answers: dict[tuple[str, str], str] = {}
+
+    def known(word: str) -> bool:
+        at = zlib.crc32(word.encode()) & mask
+        return bool(bits[at >> 3] >> (at & 7) & 1) and word not in wrong
+
+    def mend(m: re.Match) -> str:
+        first, second = m.groups()
+        got = answers.get((first, second))
+        if got is None:
+            if len(answers) >= REMEMBERED:
+                answers.clear()
+            whole = (first + second).lower()
+            compound = keeps and len(first) > 3 and len(second) > 3 and known(first.lower()) and known(second.lower())
+            got = _cased(first, whole) if not compound and any(map(known, _plain_forms(whole))) else f"{first}-{second}"
+            answers[first, second] = got
+        return got
+
+    return lambda text: pattern.sub(mend, text)
+
+
+def _taken(held: Broadcast, errors: list[Broadcast]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Different words that a sieve takes for known, of those that have to be known at the gap behind those whose errors are told."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = [_mending(*gap, held, wrong) for gap, wrong in zip(_BREAKS, errors)]
+        pattern, keeps = _BREAKS[len(errors)]
+        mask, bits = held.value
+        seen: set[tuple[str, str]] = set()
+
+        def words() -> pa.RecordBatch:
+            asked = {f for a, b in seen for f in _plain_forms(a + b)}
+            if keeps:
+                asked.update(w for pair in seen for w in pair if len(w) > 3)
+            at = ((w, zlib.crc32(w.encode()) & mask) for w in asked)
+            out = [w for w, k in at if bits[k >> 3] >> (k & 7) & 1]
+            seen.clear()
+            return pa.record_batch([pa.array(out, pa.string())], ["word"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for mend in before:
+                    text = mend(text)
+                seen.update((a.lower(), b.lower()) for a, b in pattern.findall(text))
+                if len(seen) > REMEMBERED:
+                    yield words()
+        yield words()
+
+    return of
+
+
+def _unbroken(held: Broadcast, errors: list[Broadcast]) -> Callable[[Column], Column]:
+    @F.pandas_udf(D.StringType())
+    def of(text: pd.Series) -> pd.Series:
+        each = [_mending(*gap, held, wrong) for gap, wrong in zip(_BREAKS, errors)]
+
+        def one(t: str) -> str:
+            for mend in each:
+                t = mend(t)
+            return t
+
+        return text.map(one)
+
+    return of
 
 
 def _over_gap(d: DataFrame, known: DataFrame, text: str, pattern: str, keeps: bool) -> DataFrame:

@@ -71,10 +71,10 @@ def alternate_report(spark, sf_dir):
     return segments.report(d, segments.cleaned(d, lexicon(spark, sf_dir)), "doc_id")
 
 
-def _broken(d):
-    """Texts whose plain words of eight letters and more have a hyphen and a space behind the fourth."""
+def _broken(d, *more):
+    """Columns more, and texts whose plain words of eight letters and more have a hyphen and a space behind the fourth."""
     each = lambda w: F.when(w.rlike(r"\A[a-z]{8,}\z"), F.concat(F.left(w, F.lit(4)), F.lit("- "), F.substring(w, F.lit(5), F.char_length(w)))).otherwise(w)
-    return d.select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), " "), each), " ").alias("text"))
+    return d.select("doc_id", *more, F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), " "), each), " ").alias("text"))
 
 
 @query(rf"""WITH {LEXICON}, tk AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) AS i FROM documents), q AS (SELECT DISTINCT w FROM tk WHERE regexp_matches(w, '\A[a-z]{{8,}}\z')), {KNOWN},
@@ -82,10 +82,9 @@ m AS (SELECT q.w, CASE WHEN kn.w IS NULL OR (f.word IS NOT NULL AND g.word IS NO
 SELECT doc_id, CAST(count(m.w) AS BIGINT) AS broken, CAST(count(*) FILTER (WHERE mended) AS BIGINT) AS mended, md5(string_agg(coalesce(made, tk.w), ' ' ORDER BY i)) AS digest FROM tk LEFT JOIN m ON m.w = tk.w GROUP BY doc_id""")
 def mended_breaks(spark, sf_dir):
     """Words broken by hyphens, mended by the corpus' lexicon."""
-    d = _broken(docs(spark, sf_dir))
-    out = repair.without_breaks(d.withColumn("broken", F.regexp_count("text", F.lit("[a-z]- [a-z]")).cast("long")), lexicon(spark, sf_dir))
-    plain = docs(spark, sf_dir).select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[a-z]-[a-z]")).cast("long").alias("own"))
-    out = out.join(plain, "doc_id")
+    own = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[a-z]-[a-z]")).cast("long").alias("own")
+    d = written(_broken(docs(spark, sf_dir), own).withColumn("broken", F.regexp_count("text", F.lit("[a-z]- [a-z]")).cast("long")), "broken")
+    out = repair.without_breaks(d, lexicon(spark, sf_dir))
     return out.select("doc_id", "broken", (F.col("broken") - F.regexp_count("text", F.lit("[a-z]-[a-z]")) + F.col("own")).alias("mended"), F.md5("text").alias("digest"))
 
 

@@ -28,6 +28,22 @@ def test_broken_by_hyphens(spark):
     assert _mended(repair.without_breaks(_texts(spark, texts), KNOWN)) == want
 
 
+def test_broken_by_hyphens_needs_no_row_of_a_text(spark, monkeypatch):
+    """A sieve that takes every word for known, its errors told by the join, mends as the table does, and so does the way for too many errors."""
+    rnd = random.Random(3)
+    bits = ["sup", "ported", "defend", "ing", "Organi", "zation", "long", "memory", "éa", "q", "x9", "THE", "ORY", "stop", "ped", "a_b"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice(["-", "- ", " - ", " -", "-\n", "- \n ", " ", ".", "\u2003-", "-\x1c"]) for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    known = ["supported", "defend", "organization", "long", "memory", "theory", "stop", "zation"]
+    judged = repair.judged
+    monkeypatch.setattr(repair, "judged", None)
+    want = _mended(repair.without_breaks(_texts(spark, texts), known))
+    monkeypatch.setattr(repair, "sieve", lambda words: spark.sparkContext.broadcast((1023, b"\xff" * 128)))
+    assert _mended(repair.without_breaks(_texts(spark, texts), known)) == want
+    monkeypatch.setattr(repair, "MOST_ERRORS", 1)
+    monkeypatch.setattr(repair, "judged", judged)
+    assert _mended(repair.without_breaks(_texts(spark, texts), known)) == want
+
+
 def test_broken_by_spaces(spark):
     texts = ["Th e brain", "th is is a test.", "The results diff er.", "(diff er), they", "identifi able", "see ing", "sett ing", "neuro science", "opto genetics", "a ble", "T he", "EFF ECT", "  one", "x   y\nsuff er", "o th er", "re fer red", "", None]
     want = ["The brain", "this is a test.", "The results differ.", "(differ), they", "identifiable", "seeing", "setting", "neuroscience", "optogenetics", "a ble", "T he", "EFFECT", "  one", "x y\nsuffer", "other", "referred", "", ""]
