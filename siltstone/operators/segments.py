@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
 from siltstone.functions import text as T
 from siltstone.operators.lookup import looked_up, met, replaced
+from siltstone.operators.repair import sieve
+from siltstone.sources.shared import written
 
 # The longest word of a split, and the patterns of artifacts.
 LONGEST = 20
@@ -40,28 +47,62 @@ def _best(run: pd.Series, arcs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["pieces", "cost"]).astype({"cost": "Int64"})
 
 
+_PARTS = pa.list_(pa.struct([("start", pa.int32()), ("word", pa.string())]))
+
+
+def _on_a_way(held: Broadcast, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs with those parts that lie on a way from the run's begin to its end, of words that a sieve takes for known."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, bits = held.value
+
+        def parts(run: str) -> list[dict]:
+            reached, found = bytearray(len(run) + 1), []
+            reached[0] = 1
+            for start in range(len(run)):
+                if reached[start]:
+                    for end in range(start + 1, min(start + longest, len(run)) + 1):
+                        at = zlib.crc32(run[start:end].encode()) & mask
+                        if bits[at >> 3] >> (at & 7) & 1:
+                            reached[end] = 1
+                            found.append((start, end))
+            if not reached[-1]:
+                return []
+            leads = bytearray(len(run) + 1)
+            leads[-1] = 1
+            for start, end in reversed(found):
+                leads[start] |= leads[end]
+            return [{"start": a, "word": run[a:b]} for a, b in found if leads[b]]
+
+        for batch in batches:
+            runs = batch.column(0)
+            yield pa.record_batch([runs, pa.array([parts(r) if r else [] for r in runs.to_pylist()], _PARTS)], ["run", "parts"])
+
+    return of
+
+
 def best_splits(runs: DataFrame, lexicon: DataFrame, by: str = "frequency", longest: int = LONGEST) -> DataFrame:
     """(run, pieces, cost) of runs (run: different words in lower case) over lexicon (word, n); null where no split covers a run.
 
     A word of the lexicon costs one by "words", and by "frequency" the negative logarithm of its share of all n in millionths, as
-    whole numbers. Each run's parts of up to ``longest`` characters meet the lexicon in a join, so it may have any size; the way
-    through those that are known is then found run by run.
+    whole numbers. Each run's parts of up to ``longest`` characters that a sieve of the lexicon lets through meet it in a join, so it may
+    have any size, if they lie on a way through the run; the way through those that are known is then found run by run.
     """
     if by not in ("words", "frequency"):
         raise ValueError("by must be words or frequency")
-    cut = lambda letters: F.transform(F.sequence(F.lit(0), F.size(letters) - 1), lambda i: F.array_join(F.slice(letters, i + 1, longest), ""))
-    windows = T.let(F.split("run", ""), cut)
+    fit = written(runs.select("run").mapInArrow(_on_a_way(sieve(lexicon.select("word")), longest), "run string, parts array<struct<start: int, word: string>>"), "parts")
+    some, none = fit.where(F.size("parts") > 0), fit.where(F.size("parts") == 0)
     # A run may be long, so its parts carry a digest of it.
-    starts = runs.where("run <> ''").select(F.md5("run").alias("id"), F.posexplode(windows).alias("start", "window"))
-    parts = starts.select("id", "start", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("window")), lambda k: F.substring(F.col("window"), F.lit(1), k))).alias("word"))
+    parts = some.select(F.md5("run").alias("id"), F.inline("parts"))
     if by == "words":
         priced = lexicon.select("word", F.lit(1).cast("long").alias("cost"))
     else:
         total = lexicon.agg(F.sum("n").alias("total")).first().total or 1
         priced = lexicon.select("word", F.round(-F.log(F.col("n") / F.lit(float(total))) * 1e6).cast("long").alias("cost"))
     arcs = met(parts, priced).groupBy("id").agg(F.collect_list(F.struct((F.col("start") + F.char_length("word")).alias("end"), "start", "cost")).alias("arcs"))
-    split = runs.withColumn("id", F.md5("run")).join(arcs, "id", "left")
-    return split.select("run", F.when(F.col("arcs").isNotNull(), _best("run", "arcs")).alias("s")).select("run", "s.pieces", "s.cost")
+    split = some.select("run", F.md5("run").alias("id")).join(arcs, "id", "left")
+    ways = split.select("run", F.when(F.col("arcs").isNotNull(), _best("run", "arcs")).alias("s")).select("run", "s.pieces", "s.cost")
+    return ways.unionByName(none.select("run", F.lit(None).cast("array<string>").alias("pieces"), F.lit(None).cast("long").alias("cost")))
 
 
 def unspaced(docs: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:

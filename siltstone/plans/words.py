@@ -19,9 +19,10 @@ def lexicon(spark, sf_dir):
     return written(chunks.lexicon(docs(spark, sf_dir)), "lexicon")
 
 
-def _rare(spark, sf_dir, known):
-    words = docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("run")).distinct()
-    return words.join(known.select(F.col("word").alias("run")), "run", "left_anti")
+def _rare_and_known(spark, sf_dir):
+    """Runs that are no word of the lexicon, and the lexicon, of one count of all words."""
+    counts = written(chunks.lexicon(docs(spark, sf_dir), 1), "words")
+    return counts.where("n < 3").select(F.col("word").alias("run")), counts.where("n >= 3")
 
 
 @query(f"""WITH RECURSIVE {LEXICON}, {RARE},
@@ -30,16 +31,14 @@ wy AS (SELECT run, 0::BIGINT AS pos, 0 AS k FROM rn UNION SELECT wy.run, ar.stop
 SELECT rn.run, CAST(coalesce(min(k), 0) AS BIGINT) AS n_words FROM rn LEFT JOIN wy ON wy.run = rn.run AND pos = length(rn.run) GROUP BY rn.run""")
 def word_split_counts(spark, sf_dir):
     """Rare words of the corpus and the fewest frequent ones that make them up, 0 if none do."""
-    known = lexicon(spark, sf_dir)
-    return segments.best_splits(_rare(spark, sf_dir, known), known, "words").select("run", F.coalesce("cost", F.lit(0)).cast("long").alias("n_words"))
+    return segments.best_splits(*_rare_and_known(spark, sf_dir), "words").select("run", F.coalesce("cost", F.lit(0)).cast("long").alias("n_words"))
 
 
 #: No SQL: the cheapest of all splits; a test holds it against a search of all of them.
 @query()
 def word_splits(spark, sf_dir):
     """Rare words of the corpus as the likeliest frequent ones."""
-    known = lexicon(spark, sf_dir)
-    return segments.best_splits(_rare(spark, sf_dir, known), known).select("run", F.array_join("pieces", "+").alias("split"), "cost")
+    return segments.best_splits(*_rare_and_known(spark, sf_dir)).select("run", F.array_join("pieces", "+").alias("split"), "cost")
 
 
 def _spoiled(d):

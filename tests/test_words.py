@@ -146,6 +146,21 @@ def test_best_splits(spark, by):
         segments.best_splits(lexicon, lexicon, "other")
 
 
+def test_only_parts_on_a_way_are_asked(spark, monkeypatch):
+    """Of runs that no words cover no part meets the lexicon; a sieve that lets everything through changes nothing."""
+    lexicon = spark.createDataFrame([("ab", 5), ("abc", 4), ("cd", 3), ("d", 2)], "word string, n long")
+    runs = spark.createDataFrame([("abcd",), ("abx",), ("xab",), ("",), (None,)], "run string")
+    asked = []
+    met = segments.met
+    monkeypatch.setattr(segments, "met", lambda parts, table: (asked.append(sorted({r.word for r in parts.collect()})), met(parts, table))[1])
+    want = [(None, None, None), ("", None, None), ("abcd", ["abc", "d"], 2), ("abx", None, None), ("xab", None, None)]
+    rows = lambda: sorted(map(tuple, segments.best_splits(runs, lexicon, "words").collect()), key=lambda r: (r[0] is not None, r[0]))
+    got = rows()
+    assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in want] and "".join(got[2][1]) == "abcd" and asked[0] == ["ab", "abc", "cd", "d"]
+    monkeypatch.setattr(segments, "sieve", lambda words: spark.sparkContext.broadcast((1023, b"\xff" * 128)))
+    assert rows() == got
+
+
 def test_long_run_is_split_in_linear_time(spark):
     began = time.time()
     run = "abcab" * 4_000
