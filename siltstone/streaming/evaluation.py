@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +18,8 @@ __all__ = ["EvaluationLoop", "decided", "evaluations", "trigger_stream", "window
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "run long, at timestamp, kind string, tokens long, slow boolean, perplexity double, gain double, plateau boolean, qa double, cloze double"
 
+_OUT = Row(*(x.split()[0] for x in OUTPUT.split(", ")))
+
 
 class EvaluationLoop(StatefulProcessor):
     """Of one run: when it is evaluated, what is measured then, and whether it has come to rest.
@@ -24,7 +27,8 @@ class EvaluationLoop(StatefulProcessor):
     Steps add tokens. An evaluation is due when the tokens since the last one reach ``interval``; the slow probe is measured with it
     if the tokens since its own last time reach ``slow_interval``, and else keeps its value. gain is the fall of the perplexity in percent since
     the last evaluation, plateau says that the last ``window`` gains all lie below ``threshold``. After ``idle_ms`` of event time without a step
-    a timer tells that the run is idle. State is a value (tokens, marks, the slow probe's value), and a list of the last perplexities.
+    a timer tells that the run is idle. State is one value (tokens, marks, the slow probe's value, the last perplexities), so that a batch reads and
+    writes it once for each run.
     """
 
     def __init__(self, interval: int, slow_interval: int, threshold: float = 2.0, window: int = 2, idle_ms: int | None = None):
@@ -32,53 +36,47 @@ class EvaluationLoop(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.marks = handle.getValueState("marks", "tokens long, evaluated long, slow long, cloze double")
-        self.past = handle.getListState("past", "perplexity double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        steps = pd.concat(list(rows)).sort_values(["at", "seq"])
-        tokens, evaluated, slow, cloze = self.marks.get() if self.marks.exists() else (0, 0, 0, None)
-        past = [p for (p,) in self.past.get()]
-        out = []
-        for at, n, perplexity, qa, probe in zip(steps["at"], steps["tokens"], steps["perplexity"], steps["qa"], steps["cloze"]):
-            tokens += 0 if pd.isna(n) else int(n)
+        past = ", ".join(f"past{i} double" for i in range(self.window + 1))
+        self.marks = handle.getValueState("marks", f"tokens long, evaluated long, slow long, cloze double, {past}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        steps = sorted(rows, key=lambda r: (r["at"] is None, r["at"], r["seq"] is None, r["seq"]))
+        tokens, evaluated, slow, cloze, *past = self.marks.get() or (0, 0, 0, None)
+        past = [p for p in past if p is not None]
+        for step in steps:
+            tokens += step["tokens"] or 0
             if tokens - evaluated < self.interval:
                 continue
             evaluated = tokens
             is_slow = tokens - slow >= self.slow_interval
             if is_slow:
-                slow, cloze = tokens, cloze if pd.isna(probe) else float(probe)
+                slow, cloze = tokens, cloze if _number(step["cloze"]) is None else step["cloze"]
+            perplexity = math.nan if step["perplexity"] is None else step["perplexity"]
             gain = None if not past else (past[-1] - perplexity) / past[-1] * 100 if past[-1] > 0 else 0.0
-            past = [*past, float(perplexity)][-self.window - 1 :]
+            past = [*past, perplexity][-self.window - 1 :]
             gains = [(a - b) / a * 100 if a > 0 else 0.0 for a, b in zip(past, past[1:])]
             rests = len(gains) >= self.window and max(gains[-self.window :]) < self.threshold
-            out.append((key[0], at, "evaluation", tokens, is_slow, perplexity, gain, rests, None if pd.isna(qa) else qa, cloze))
-        self.marks.update((tokens, evaluated, slow, cloze))
-        if past:
-            self.past.put([(p,) for p in past])
+            yield _OUT(key[0], step["at"], "evaluation", tokens, is_slow, _number(perplexity), _number(gain), rests, _number(step["qa"]), cloze)
+        self.marks.update((tokens, evaluated, slow, cloze, *past, *[None] * (self.window + 1 - len(past))))
         if self.idle_ms is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(steps["at"].max().timestamp() * 1000) + self.idle_ms)
-        yield self._rows(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        tokens, _, _, cloze = self.marks.get()
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield self._rows([(key[0], at, "idle", tokens, False, None, None, None, None, cloze)])
-
-    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
-        names = [x.split()[0] for x in OUTPUT.split(", ")]
-        d = pd.DataFrame(rows, columns=names)
-        for c in ("perplexity", "gain", "qa", "cloze"):
-            d[c] = d[c].astype("float64")
-        d["at"] = pd.to_datetime(d["at"])
-        return d
+            self.handle.registerTimer(int(max(r["at"] for r in steps if r["at"] is not None).timestamp() * 1000) + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        tokens, _, _, cloze, *_ = self.marks.get()
+        at = datetime.datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        yield _OUT(key[0], at, "idle", tokens, False, None, None, None, None, cloze)
 
     def close(self) -> None:
         pass
 
 
+def _number(x: float | None) -> float | None:
+    """None for what is no number."""
+    return None if x is None or math.isnan(x) else x
+
+
 def evaluations(steps: DataFrame, interval: int, slow_interval: int, threshold: float = 2.0, window: int = 2, idle: str | None = None, idle_ms: int = 0) -> DataFrame:
     """Evaluations of training steps (run, seq, at, tokens, perplexity, qa, cloze) by EvaluationLoop, of a table or a stream.
 
@@ -91,7 +89,7 @@ def evaluations(steps: DataFrame, interval: int, slow_interval: int, threshold:
     loop = EvaluationLoop(interval, slow_interval, threshold, window, idle_ms if timed else None)
     d = steps.select("run", "seq", "at", "tokens", "perplexity", "qa", "cloze")
     d = d.withWatermark("at", idle) if timed else d
-    return d.groupBy("run").transformWithStateInPandas(loop, OUTPUT, "append", "eventTime" if timed else "none")
+    return d.groupBy("run").transformWithState(loop, OUTPUT, "append", "eventTime" if timed else "none")
 
 
 def decided(rows: DataFrame, corpus: int, cap: int, thresholds: tuple[float, float, float] = (0.6, 0.5, 0.5)) -> DataFrame:

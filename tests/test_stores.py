@@ -237,3 +237,32 @@ def test_probe_prompts(spark):
     head = "Sentence: S ______\nAnswer: x\n\nSentence: "
     assert got == [head + x + "\nAnswer:" for x in ("A ______ b.", "no blank ______", "six ____________", " ______")]
     assert [r[0] for r in d.select(probes.plain_prompt(F.col("t"), "Question:")).collect()][1::2] == ["Question: no blank\nAnswer:", "Question: \nAnswer:"]
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """A batch asks the store for a run's state once and writes it once, as each is a call out of Python."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    loop = evaluation.EvaluationLoop(100, 250)
+    loop.init(Handle())
+    t0 = datetime.datetime(2026, 1, 1)
+    rows = [(7, k, t0 + datetime.timedelta(minutes=k), 60, None if k == 3 else 50.0 - k, None, 0.5) for k in (2, 0, 1, 5, 3, 4)]
+    names = ["run", "seq", "at", "tokens", "perplexity", "qa", "cloze"]
+    out = [r for part in (rows[:3], rows[3:]) for r in loop.handleInputRows((7,), iter([dict(zip(names, r)) for r in part]), None)]
+    assert calls == ["get", "update"] * 2
+    assert [(r.tokens, r.slow, r.perplexity, r.gain) for r in out] == [(120, False, 49.0, None), (240, False, None, None), (360, True, 45.0, 0.0)]
