@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -85,13 +86,20 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, batch_id: int | None
     return told
 
 
+#: Rows of a file that a task makes at a time.
+ROWS_AT_ONCE = 5_000
+
+
 def _rows_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole CSV files by their own headers, as text; missing fields are empty."""
+    """Rows of whole CSV files by their own headers, as text, some at a time; missing fields are empty."""
+    names = ["path", "modified", "place", *FIELDS]
     for files in batches:
         for name, modified, content in zip(files["path"], files["modificationTime"], files["content"]):
-            read = csv.DictReader(io.StringIO(bytes(content).decode("utf-8", "replace"), newline=""))
-            rows = [(name, modified, i, *[r.get(f) or "" for f in FIELDS]) for i, r in enumerate(read)]
-            yield pd.DataFrame(rows, columns=["path", "modified", "place", *FIELDS])
+            # Decoded as it is read: neither the whole text nor all rows of a file stand in memory beside its bytes.
+            read = csv.DictReader(io.TextIOWrapper(io.BytesIO(content), "utf-8", "replace", newline=""))
+            rows = ((name, modified, i, *[r.get(f) or "" for f in FIELDS]) for i, r in enumerate(read))
+            while some := list(itertools.islice(rows, ROWS_AT_ONCE)):
+                yield pd.DataFrame(some, columns=names)
 
 
 def file_rows(files: DataFrame, now: str = "") -> DataFrame:

@@ -266,3 +266,15 @@ def test_state_is_read_and_written_once_a_batch():
     out = [r for part in (rows[:3], rows[3:]) for r in loop.handleInputRows((7,), iter([dict(zip(names, r)) for r in part]), None)]
     assert calls == ["get", "update"] * 2
     assert [(r.tokens, r.slow, r.perplexity, r.gain) for r in out] == [(120, False, 49.0, None), (240, False, None, None), (360, True, 45.0, 0.0)]
+
+
+def test_rows_of_a_file_are_made_some_at_a_time(monkeypatch):
+    """A file's rows are handed on while it is read, so memory beside its bytes does not grow with it."""
+    content = 'seq_num,prompt,extra\r\n' + "".join(f'{i},"a\r\n""{i}"" é",x\n' for i in range(7)) + "7\n"
+    files = pd.DataFrame([("f.csv", pd.Timestamp(0), content.encode() + b"\xff,z\n")], columns=["path", "modificationTime", "content"])
+    monkeypatch.setattr(kept_store, "ROWS_AT_ONCE", 3, raising=False)
+    got = list(kept_store._rows_of_files(iter([files])))
+    assert [len(d) for d in got] == [3, 3, 3]
+    rows = pd.concat(got)
+    assert rows["place"].tolist() == list(range(9)) and rows["seq_num"].tolist() == [*map(str, range(8)), "\ufffd"]
+    assert rows["prompt"].tolist() == [*(f'a\r\n"{i}" é' for i in range(7)), "", "z"]
