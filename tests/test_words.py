@@ -245,3 +245,11 @@ def test_long_runs_hold_no_artifacts_in_linear_time(spark):
         assert r == re.findall(r"(?ai)\S*\.indd\s+[ivxlc\d]+\b", t) and lig == re.findall(r"(?a)\w*(?:fi|ff|fl) \w+", t)
     long = spark.createDataFrame([("ab" * 1_000_000,)], "text string")
     assert tuple(long.select(segments.artifacts(F.col("text")).alias("a")).select("a.*").first()) == (0,) * 6
+
+
+def test_lines_are_stripped_once(spark):
+    """Each line is stripped once for all patterns of its kinds, and shares of lines that are asked twice are worked out once."""
+    d = _texts(spark, ["Index\n  12 "])
+    plan = lambda c: d.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan(cleaning.line_kinds(F.col("text"))).count(r"(?U)^\s+|\s+$") == 1
+    assert plan(cleaning.is_book_list(F.col("text"))).count(cleaning.INDEX_LINE) == 1
